@@ -5,15 +5,42 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import mixing, quality, token_files
 from .common import table
 from .ngram_join import near_duplicates
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """The path of a public tokenizer's file, which is never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_ngram_jaccard_join": op2_ngram_jaccard_join}
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    out = quality.scored(docs, model)
+    return out.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read_digests(token_files.write_shards(table(spark, sf_dir, "documents"), vocabulary()))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op2_ngram_jaccard_join, op3_quality_classifier, op5_mix_sources, op9_token_files)
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_mix_sources": mixing.SQL}
