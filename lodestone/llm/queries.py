@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, token_files
+from . import decontaminate, mixing, quality, token_files
 from .common import table
 from .ngram_join import near_duplicates
 
@@ -34,13 +34,17 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_digests(token_files.write_shards(table(spark, sf_dir, "documents"), vocabulary()))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_ngram_jaccard_join, op3_quality_classifier, op5_mix_sources, op9_token_files)
+    for f in (op2_ngram_jaccard_join, op3_quality_classifier, op5_mix_sources, op8_benchmark_decontamination, op9_token_files)
 }
 
-ORACLES: dict[str, str] = {"op5_mix_sources": mixing.SQL}
+ORACLES: dict[str, str] = {"op5_mix_sources": mixing.SQL, "op8_benchmark_decontamination": decontaminate.SQL}
