@@ -35,8 +35,8 @@ from pyspark.sql.window import Window as W
 from .common import flat, mix, pieces, powers, range_hashes, small, store
 
 WORDS = 5
-#: Text bytes that are hashed at a time, and n-grams in a block of columns.
-CHUNK_BYTES, BLOCK_NGRAMS = 8 << 20, 1_500_000
+#: Text bytes that are hashed at a time, n-grams in a block of columns, and classes whose totals are summed at once.
+CHUNK_BYTES, BLOCK_NGRAMS, RANGE_CLASSES = 4 << 20, 1_500_000, 16_384
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -143,20 +143,33 @@ def _blocks(blocks: int):
     return deal
 
 
-def _shared(group: pd.DataFrame) -> pd.DataFrame:
-    """Per class, how many of its n-grams in one block of columns some other class has as well."""
+def _shared(ranges: int):
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        """Per class, how many of its n-grams in one block of columns some other class has as well; packed by range of classes."""
+        nodes = np.concatenate([np.frombuffer(x, np.int64) for x in group["nodes"]])
+        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in group["counts"]])
+        keys = np.concatenate([np.frombuffer(x, np.uint32) for x in group["keys"]])
+        uniq, index = np.unique(nodes, return_inverse=True)
+        pair = np.unique((keys.astype(np.uint64) << np.uint64(32)) | np.repeat(index, counts).astype(np.uint64))
+        key = pair >> np.uint64(32)
+        same = np.zeros(len(key) + 1, bool)
+        same[1:-1] = key[1:] == key[:-1]
+        hit = same[1:] | same[:-1]
+        total = np.bincount((pair[hit] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(uniq))
+        uniq, total = uniq[total > 0], total[total > 0].astype(np.uint32)
+        part = ((uniq.view(np.uint64) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        found, first = np.unique(part[order], return_index=True)
+        split = np.split(order, first[1:]) if len(found) else []
+        return pd.DataFrame({"part": found, "nodes": [uniq[x].tobytes() for x in split], "counts": [total[x].tobytes() for x in split]})
+
+    return count
+
+
+def _totals(group: pd.DataFrame) -> pd.DataFrame:
     nodes = np.concatenate([np.frombuffer(x, np.int64) for x in group["nodes"]])
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in group["counts"]])
-    keys = np.concatenate([np.frombuffer(x, np.uint32) for x in group["keys"]])
     uniq, index = np.unique(nodes, return_inverse=True)
-    pair = (keys.astype(np.uint64) << np.uint64(32)) | np.repeat(index, counts).astype(np.uint64)
-    pair = np.unique(pair)
-    key = pair >> np.uint64(32)
-    same = np.zeros(len(key) + 1, bool)
-    same[1:-1] = key[1:] == key[:-1]
-    hit = same[1:] | same[:-1]
-    total = np.bincount((pair[hit] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(uniq))
-    return pd.DataFrame({"node": uniq[total > 0], "shared": total[total > 0]})
+    return pd.DataFrame({"node": uniq, "shared": np.bincount(index, np.concatenate([np.frombuffer(x, np.uint32) for x in group["counts"]])).astype(np.int64)})
 
 
 def overlap(a: np.ndarray, b: np.ndarray, least: int, block: int = 4096) -> int:
@@ -228,10 +241,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = store(docs.mapInArrow(_signed, "doc_id long, n long, node long, check long"), "rows")
     classes = store(rows.where("n > 0").groupBy("node", "check", "n").agg(F.min("doc_id").alias("rep"), F.max(F.col("doc_id").isNull().cast("int")).alias("odd")), "classes")
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    blocks = max(16, -(-total // BLOCK_NGRAMS))
+    total, many = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    blocks, ranges = max(16, -(-total // BLOCK_NGRAMS)), max(1, -(-many // RANGE_CLASSES))
 
-    shared = docs.mapInArrow(_blocks(blocks), "block long, nodes binary, counts binary, keys binary").groupBy("block").applyInPandas(_shared, "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
+    shared = docs.mapInArrow(_blocks(blocks), "block long, nodes binary, counts binary, keys binary").groupBy("block").applyInPandas(_shared(ranges), "part long, nodes binary, counts binary").groupBy("part").applyInPandas(_totals, "node long, shared long")
     alive = store(classes.join(shared, "node").where(100 * F.col("shared") >= percent * F.col("n")).select("node", "rep"), "alive")
 
     chosen = docs.join(small(alive.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi") if not alive.where("rep is null").limit(1).count() else docs
