@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, suffix_dedup, token_files
+from . import decontaminate, mixing, quality, suffix_dedup, token_files, transport
 from .common import table
 from .ngram_join import near_duplicates
 
@@ -38,6 +38,10 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op7_media_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transport.features(transport.write_media(table(spark, sf_dir, "documents")))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,7 +52,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_ngram_jaccard_join, op3_quality_classifier, op5_mix_sources, op6_suffix_array_dedup, op8_benchmark_decontamination, op9_token_files)
+    for f in (op2_ngram_jaccard_join, op3_quality_classifier, op5_mix_sources, op6_suffix_array_dedup, op7_media_transport_streams, op8_benchmark_decontamination, op9_token_files)
 }
 
 ORACLES: dict[str, str] = {"op5_mix_sources": mixing.SQL, "op8_benchmark_decontamination": decontaminate.SQL}
