@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, suffix_dedup, token_files, transport
+from . import decontaminate, mixing, pseudonyms, quality, suffix_dedup, token_files, transport
 from .common import table
 from .ngram_join import near_duplicates
 
@@ -30,6 +30,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymize(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_ngram_jaccard_join, op3_quality_classifier, op5_mix_sources, op6_suffix_array_dedup, op7_media_transport_streams, op8_benchmark_decontamination, op9_token_files)
+    for f in (op2_ngram_jaccard_join, op3_quality_classifier, op4_pii_pseudonyms, op5_mix_sources, op6_suffix_array_dedup, op7_media_transport_streams, op8_benchmark_decontamination, op9_token_files)
 }
 
 ORACLES: dict[str, str] = {"op5_mix_sources": mixing.SQL, "op8_benchmark_decontamination": decontaminate.SQL}
