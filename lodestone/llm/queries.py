@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, pseudonyms, quality, suffix_dedup, token_files, transport
+from . import decontaminate, mixing, perspectives, pseudonyms, quality, suffix_dedup, token_files, transport, url_lists
 from .common import table
 from .ngram_join import near_duplicates
 
@@ -19,6 +19,10 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.perspectives(table(spark, sf_dir, "conversations"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -54,9 +58,15 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_digests(token_files.write_shards(table(spark, sf_dir, "documents"), vocabulary()))
 
 
+def op10_url_list_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    out = url_lists.evaluate(url_lists.dated_captures(pages), url_lists.sample_events(pages))
+    return out.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("fetched", "entry", "list", "valid_from")})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_ngram_jaccard_join, op3_quality_classifier, op4_pii_pseudonyms, op5_mix_sources, op6_suffix_array_dedup, op7_media_transport_streams, op8_benchmark_decontamination, op9_token_files)
+    for f in (op1_chat_perspectives, op2_ngram_jaccard_join, op3_quality_classifier, op4_pii_pseudonyms, op5_mix_sources, op6_suffix_array_dedup, op7_media_transport_streams, op8_benchmark_decontamination, op9_token_files, op10_url_list_join)
 }
 
-ORACLES: dict[str, str] = {"op5_mix_sources": mixing.SQL, "op8_benchmark_decontamination": decontaminate.SQL}
+ORACLES: dict[str, str] = {"op5_mix_sources": mixing.SQL, "op8_benchmark_decontamination": decontaminate.SQL, "op1_chat_perspectives": perspectives.SQL, "op10_url_list_join": url_lists.SQL}
