@@ -22,3 +22,11 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+def load() -> None:
+    """Registers the queries of all modules of this folder."""
+    from . import q_issues  # noqa: F401
+
+
+load()
