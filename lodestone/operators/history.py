@@ -22,9 +22,9 @@ def deltas(series: DataFrame, at: str, metrics: dict[str, bool], key: list[str]
 def halves(series: DataFrame, at: str, value: str, key: str) -> DataFrame:
     """(key, direction): the mean of the later half against that of the earlier, within 5 % stable; under two points unknown."""
     w = W.partitionBy(key)
-    r = series.select(key, value, F.row_number().over(w.orderBy(at)).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
+    r = series.select(key, F.col(value).alias("y"), F.row_number().over(w.orderBy(at)).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
     early = F.col("i") <= F.floor(F.col("n") / 2)
-    per = r.groupBy(key).agg(F.max("n").alias("n"), F.avg(F.when(early, F.col(value))).alias("a"), F.avg(F.when(~early, F.col(value))).alias("b"))
+    per = r.groupBy(key).agg(F.max("n").alias("n"), F.avg(F.when(early, F.col("y"))).alias("a"), F.avg(F.when(~early, F.col("y"))).alias("b"))
     rise = (F.col("b") - F.col("a")) / F.col("a")
     direction = F.when(F.col("n") < 2, "Unknown").when(rise > 0.05, "Increasing").when(rise < -0.05, "Decreasing").otherwise("Stable")
     return per.select(key, F.col("n").alias("points"), F.col("a").alias("first_half"), F.col("b").alias("second_half"), direction.alias("direction"))
