@@ -49,6 +49,11 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of ``value``, which is worked out once for a row, also if ``f`` uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. ``lower`` does that on pure ASCII; other texts take the slower ``translate``."""
     upper = "".join(map(chr, range(65, 91)))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import ascii_lower, small, store
+from .common import ascii_lower, let, small, store
 
 WINDOW = 13
 #: How many of a window's rarest terms have lists that are intersected.
@@ -37,7 +37,8 @@ def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", w
     An item of fewer words than ``width``, but not none, is one window.
     """
     w = items.select(F.col(id_col).cast("string").alias("item_id"), words(F.col(text_col).cast("string")).alias("w")).where("size(w) > 0 and item_id is not null")
-    each = w.select("item_id", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - width, F.lit(0))), lambda i: F.slice("w", i + 1, width))).alias("terms"))
+    cut = let(F.col("w"), lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.size(x) - width, F.lit(0))), lambda i: F.slice(x, i + 1, width)))
+    each = w.select("item_id", F.explode(cut).alias("terms"))
     each = store(each.select(F.md5(F.concat_ws(" ", "terms")).alias("window_id"), "terms", "item_id").distinct(), "windows")
     return each.select("window_id", "terms").distinct(), each.select("window_id", "item_id")
 
@@ -73,7 +74,7 @@ def exact(docs: DataFrame, starts: DataFrame, windows: DataFrame) -> DataFrame:
     candidates = starts.join(small(windows), "window_id")
     per_doc = candidates.groupBy("key").agg(F.collect_list(F.struct("window_id", "start", "n", "terms")).alias("c"))
     held = docs.join(small(store(starts.select("key").distinct(), "keys")), "key", "left_semi").join(per_doc, "key").select("key", "c", words(F.col("text")).alias("w"))
-    return held.select("key", F.explode(F.filter("c", lambda c: F.slice(F.col("w"), c["start"] + 1, c["n"]) == c["terms"])).alias("c")).select("key", "c.window_id", "c.start", "c.n")
+    return held.select("key", F.explode(let(F.col("w"), lambda w: F.filter("c", lambda c: F.slice(w, c["start"] + 1, c["n"]) == c["terms"]))).alias("c")).select("key", "c.window_id", "c.start", "c.n")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", width: int = WINDOW, share: int = 20) -> DataFrame:
