@@ -44,6 +44,13 @@ def store(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(spark: SparkSession, rows: int = 1000) -> None:
+    """Smaller Arrow batches than the default 10,000 rows, which of long texts would be more than a worker should hold; a setting of the user's own stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it is a stored table of at most ``rows`` narrow rows; else unchanged."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import flat, mix, pieces, powers, range_hashes, small, store
+from .common import bounded, flat, mix, pieces, powers, range_hashes, small, store
 
 WORDS = 5
 #: Text bytes that are hashed at a time, n-grams in a block of columns, and classes whose totals are summed at once.
@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     passed over by the minimum. Other columns are ignored. An empty table
     gives an empty result.
     """
-    spark = docs.sparkSession
+    bounded(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = store(docs.mapInArrow(_signed, "doc_id long, n long, node long, check long"), "rows")
     classes = store(rows.where("n > 0").groupBy("node", "check", "n").agg(F.min("doc_id").alias("rep"), F.max(F.col("doc_id").isNull().cast("int")).alias("odd")), "classes")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, pieces
+from .common import bounded, flat, pieces
 
 #: Bytes of a window, step between windows, numbers of an embedded byte, filters.
 WINDOW, STEP, WIDTH, FILTERS = 12, 3, 4, 16
@@ -215,6 +215,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str =
     Null text scores as the empty text; any other column is ignored; equal
     texts score alike up to the rounding of floats.
     """
+    bounded(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,14 +230,15 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str =
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores ``threshold`` or more; scored in place, so no text is shuffled."""
+    bounded(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column(at))
-            parts = [score(shared.value, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in pieces(offsets, SCORE_BYTES)]
-            if parts:
-                yield batch.filter(pa.array(np.concatenate(parts) >= threshold))
+            for i, j in pieces(offsets, SCORE_BYTES):
+                s = score(shared.value, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                yield batch.slice(i, j - i).filter(pa.array(s >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

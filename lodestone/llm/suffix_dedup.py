@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, pieces, range_hashes, small, store
+from .common import bounded, flat, pieces, range_hashes, small, store
 
 LENGTH, GRAM = 200, 32
 REACH = LENGTH - GRAM  # how far left of its anchor a string may begin
@@ -271,6 +271,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeated ids are like any other. ``kept`` has the remaining bytes as text,
     with a replacement where a cut splits a character. Other columns are ignored.
     """
+    bounded(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
     rows = store(docs.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("sha")), "rows")

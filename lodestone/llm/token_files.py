@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import flat, pieces, range_hashes, small, store
+from .common import bounded, flat, pieces, range_hashes, small, store
 
 SHARD_IDS, ROUNDS, LEAST_USES = 1 << 20, 4, 8
 CHUNK_BYTES = 4 << 20
@@ -343,6 +343,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str =
     ignored.
     """
     spark = docs.sparkSession
+    bounded(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "text")
     return store(docs.mapInArrow(_encode(tokenizer, end_id), "part int, shard int, offset long, n_ids long, payload binary"), "tokens")

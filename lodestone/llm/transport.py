@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, pieces, store
+from .common import bounded, flat, pieces, store
 
 PACKET, BODY = 188, 184
 BLOCK = 576  # payloads are padded with PAD to a positive multiple of it
@@ -238,6 +238,7 @@ def write_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null and empty texts are one padded block. Repeated rows, null ids and
     empty tables are like any other; further columns are ignored.
     """
+    bounded(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return store(docs.mapInArrow(_mux, "doc_id long, n_bytes long, media binary"), "media")
 
