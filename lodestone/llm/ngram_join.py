@@ -36,7 +36,7 @@ from .common import bounded, flat, mix, pieces, powers, range_hashes, small, sto
 
 WORDS = 5
 #: Text bytes that are hashed at a time, n-grams in a block of columns, and classes whose totals are summed at once.
-CHUNK_BYTES, BLOCK_NGRAMS, RANGE_CLASSES = 4 << 20, 1_500_000, 16_384
+CHUNK_BYTES, BLOCK_NGRAMS, RANGE_CLASSES = 2 << 20, 1_500_000, 16_384
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)

@@ -32,7 +32,7 @@ from pyspark.sql.window import Window as W
 from .common import bounded, flat, pieces, range_hashes, small, store
 
 SHARD_IDS, ROUNDS, LEAST_USES = 1 << 20, 4, 8
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Distinct pieces that a Python worker remembers; beyond, it starts anew.
 PIECES = 1_500_000
 

@@ -30,7 +30,7 @@ TICKS = 3600  # between units, of a 90 kHz clock
 EVERY = 16  # units from one random-access point to the next
 TABLES_PID, STREAM_PID, PROGRAM = 0x1000, 0x100, 1
 HEADER = 14  # of an elementary packet with one timestamp
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def crc32_mpeg(data: bytes) -> int:
