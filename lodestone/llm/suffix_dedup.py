@@ -40,7 +40,7 @@ LENGTH, GRAM = 200, 32
 REACH = LENGTH - GRAM  # how far left of its anchor a string may begin
 CHUNK_BYTES = 1 << 20
 #: Anchors in a block when repeats are counted, contexts in a block that is merged, texts in a range of keys.
-BLOCK_ANCHORS, BLOCK_CONTEXTS, RANGE_TEXTS = 250_000, 20_000, 16_384
+BLOCK_ANCHORS, BLOCK_CONTEXTS, RANGE_TEXTS = 250_000, 5_000, 16_384
 PAD = 255  # in no UTF-8 text
 
 
