@@ -69,9 +69,21 @@ def coverage_summary(points: DataFrame, keys: list[str]) -> DataFrame:
     return g.withColumn("percent", F.when(F.col("lines") > 0, F.col("covered") * 100.0 / F.col("lines")).otherwise(0.0))
 
 
+def lines_of(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value): the lines of one small file, also of a hidden one, which Spark's readers pass over; read by the driver from any store."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        text = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8", "replace")
+    finally:
+        stream.close()
+    return spark.createDataFrame([(path, x) for x in text.splitlines()], "path string, value string")
+
+
 def env_config(spark: SparkSession, path: str) -> DataFrame:
     """(path, key, value, sensitive) of ``KEY=VALUE`` lines: at the first ``=``, without quotes, comments and blank lines."""
-    x = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("x")).where("x != '' and not startswith(x, '#') and instr(x, '=') > 1")
+    x = lines_of(spark, path).select("path", F.trim("value").alias("x")).where("x != '' and not startswith(x, '#') and instr(x, '=') > 1")
     value = F.trim(F.expr("substring(x, instr(x, '=') + 1)"))
     key = normal_key(F.substring_index("x", "=", 1))
     return x.select("path", key.alias("key"), F.regexp_replace(value, "^([\"'])(.*)\\1$", "$2").alias("value"), sensitive_key(key).alias("sensitive"))
