@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, perspectives, pseudonyms, quality, suffix_dedup, token_files, transport, url_lists
+from . import decontaminate, mixing, ngram_join, perspectives, pseudonyms, quality, suffix_dedup, token_files, transport, url_lists
 from .common import table
 from .ngram_join import near_duplicates
 
@@ -69,4 +69,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_chat_perspectives, op2_ngram_jaccard_join, op3_quality_classifier, op4_pii_pseudonyms, op5_mix_sources, op6_suffix_array_dedup, op7_media_transport_streams, op8_benchmark_decontamination, op9_token_files, op10_url_list_join)
 }
 
-ORACLES: dict[str, str] = {"op5_mix_sources": mixing.SQL, "op8_benchmark_decontamination": decontaminate.SQL, "op1_chat_perspectives": perspectives.SQL, "op10_url_list_join": url_lists.SQL}
+ORACLES: dict[str, str] = {"op2_ngram_jaccard_join": ngram_join.SQL, "op5_mix_sources": mixing.SQL, "op8_benchmark_decontamination": decontaminate.SQL, "op1_chat_perspectives": perspectives.SQL, "op10_url_list_join": url_lists.SQL}
