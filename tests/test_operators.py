@@ -188,3 +188,13 @@ def test_recompute_analyses_changes_and_their_dependents_only(spark):
     deps = spark.createDataFrame([("c", "b")], "k string, on string")
     out = V.recompute(current, cache, lambda x: x.withColumn("r", F.lit("new")), "k", "d", deps)
     assert {(r.k, r.r) for r in out.collect()} == {("a", "old"), ("b", "new"), ("c", "new"), ("d", "new")}
+
+
+def test_planning():
+    from lodestone.operators.planning import chains, ordered, valid
+
+    after, rank = {"b": {"a"}, "c": {"b"}}, {"a": 3, "b": 2, "c": 1}
+    assert ordered(["c", "b", "a"], after, rank) == ["a", "b", "c"]
+    assert ordered(["a", "b"], {"a": {"b"}, "b": {"a"}}, rank) == ["b", "a"]
+    assert not valid([], set(), {}) and not valid(["a", "a"], set(), {}) and not valid(["a", "b"], {("b", "a")}, {}) and not valid(["b", "a"], set(), after)
+    assert chains(["a", "b", "c"], {("a", "b")}, after, rank, {"a": 1, "b": 5, "c": 2})[0] == ["b", "c"]
