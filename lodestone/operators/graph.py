@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 def cut(df: DataFrame) -> DataFrame:
     """Lineage cut in the cluster's checkpoint folder; without one (tests) the plan is materialised in memory."""
     spark: SparkSession = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None):
+    if spark.sparkContext.getCheckpointDir():
         return df.checkpoint()
     df = df.persist()
     df.count()
