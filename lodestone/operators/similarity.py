@@ -1,22 +1,28 @@
 """Clones: normal forms, shingles, MinHash bands, sequence similarity and clone classes.
 
-Groups are linked to one representative, never pair by pair, so a group of any
-size costs as many links as it has members.
+Equal texts and equal forms are linked to one representative, so such a group
+costs as many links as it has members. Different texts that have enough in
+common are linked pair by pair, all of them: that is as many links as there are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from ..functions import text as X
 from . import graph as G
 
 FUNCTIONS, BANDS = 100, 20
 TRIVIAL_LENGTH, LEAST_TOKENS = 20, 50
+#: Of a tile of sets that are compared at a time: shingles, and what a set counts besides its own.
+TILE, EACH = 50_000, 100
 
 
 def tokens(text: Column) -> Column:
@@ -155,28 +161,112 @@ def clone_type(exact: Column, normal: Column, shingle: Column, flow: Column) ->
     return F.when(exact, "Type1").when(normal, "Type2").when(shingle >= 0.75, "Type3").when(flow >= 0.70, "Type4").otherwise("None")
 
 
+def _compared(least: float):
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        """Links between two tiles, or within one, by counting for each set what all others share with it."""
+        one, other = group[group["side"] == 0], group[group["side"] == 1]
+        if not len(other):
+            other = one
+        sets, keys, size = other["set"].tolist(), other["key"].to_numpy(), other["n"].to_numpy()
+        h, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.argsort(h, kind="stable")
+        h, row = h[order], row[order]
+        out = []
+        for key, n, x in zip(one["key"], one["n"], one["set"]):
+            low, high = np.searchsorted(h, x, "left"), np.searchsorted(h, x, "right")
+            count = high - low
+            at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            both = np.bincount(row[at], minlength=len(keys))
+            score = both / (n + size - both)
+            found = (score >= least) & ((keys > key) if other is one else True)
+            out.append(pd.DataFrame({"u": key, "v": keys[found], "score": score[found]}))
+        return pd.concat(out)
+
+    return compare
+
+
+def set_links(sets: Callable[[DataFrame], DataFrame], heads: DataFrame, least: float) -> DataFrame:
+    """(u, v, score): all pairs of different sets whose Jaccard similarity is at least ``least``.
+
+    ``heads``: (key, n, head) of all sets, ``sets``: a function that gives (key,
+    n, set) for a table of keys. Nothing is approximate:
+
+    1. Linked sets share ``need(n)`` shingles, so of the first ``n - need(n) + k``
+       in any common order they share ``k``. Sets whose heads have less in common
+       with all other heads together than any partner must have, go.
+    2. Of the rest, shingles are ordered by rarity; linked sets share one of the
+       first ``n - need(n) + 1``.
+    3. Sets are dealt into tiles by a least hash. Tiles that share such a shingle
+       are compared, each set with each: by tiles and not by pairs, a group of
+       copies is moved once for each tile of it and not once for each copy.
+    """
+    need = _need(F.col("n"), least)
+    post = heads.select("key", "n", F.explode("head").alias("h"))
+    by = W.partitionBy("h")
+    shared = post.withColumn("a", F.min("key").over(by)).withColumn("b", F.max("key").over(by)).where("a != b").select("key", "n", "h")
+    alive = shared.groupBy("key", "n").agg(F.count_distinct("h").alias("c")).where(F.col("c") >= _more(need)).select("key")
+    sets = G.cut(sets(alive))
+
+    post = sets.select("key", "n", F.explode("set").alias("h")).withColumn("df", F.count(F.lit(1)).over(by)).where("df > 1")
+    own = W.partitionBy("key")
+    ranked = post.withColumn("at", F.row_number().over(own.orderBy("df", "h"))).withColumn("s", F.count(F.lit(1)).over(own)).withColumn("group", F.min(F.xxhash64("h")).over(own))
+    prefix = G.cut(ranked.where((F.col("s") >= need) & (F.col("n") - F.col("s") + F.col("at") <= F.col("n") - need + 1)).select("key", "n", "h", "group"))
+    nodes = prefix.select("key", "n", "group").distinct()
+    chunk = F.floor((F.sum(F.col("n") + EACH).over(W.partitionBy("group").orderBy("key").rowsBetween(W.unboundedPreceding, 0)) - 1) / TILE)
+    tiles = G.cut(nodes.select("key", F.xxhash64("group", chunk).alias("tile")))
+    single = tiles.groupBy("tile").agg(F.count(F.lit(1)).alias("members")).where("members = 1").select("tile")
+    places = G.cut(prefix.join(tiles, "key").select("h", "tile").distinct())
+    pairs = places.select("h", F.col("tile").alias("a")).join(places.select("h", F.col("tile").alias("b")), "h").where("a < b").select("a", "b").distinct()
+    within = tiles.select("tile").distinct().join(single, "tile", "left_anti").select(F.col("tile").alias("a"), F.col("tile").alias("b"))
+    pairs = G.cut(pairs.unionByName(within))
+    held = sets.join(tiles, "key")
+    sides = pairs.withColumn("tile", F.col("a")).withColumn("side", F.lit(0)).unionByName(pairs.where("a != b").withColumn("tile", F.col("b")).withColumn("side", F.lit(1)))
+    return sides.join(held, "tile").select("a", "b", "side", "key", "n", "set").groupBy("a", "b").applyInPandas(_compared(least), "u long, v long, score double")
+
+
+def _need(n: Column, least: float) -> Column:
+    """How many of its ``n`` shingles a set shares with any that it is linked with."""
+    return F.ceil(n * least - 1e-9).cast("int")
+
+
+def _more(n: Column) -> Column:
+    """By how many shingles a head is longer than what a set may have for itself."""
+    return F.greatest(F.lit(1), F.floor(n / 8).cast("int"))
+
+
 def clone_links(docs: DataFrame, id_col: str, text_col: str, least: float = 0.75) -> DataFrame:
-    """(source, target, type, score): links of fragments to representatives.
+    """(source, target, type, score): links of fragments.
 
-    Equal texts and equal normal forms link to the least id of their group.
-    One of each normal form goes to bands, and each band's members are compared
-    with the band's least id.
+    Equal texts link to the least id of their group, equal normal forms to the
+    least id of theirs, and so do texts with equal sets of shingles but
+    different forms. One of each set is linked with every other that reaches
+    ``least`` and has a different form (see :func:`set_links`).
     """
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    keyed = d.select("id", F.sha2("text", 256).alias("exact"), F.sha2(X.normal_code(F.col("text")), 256).alias("normal"))
+    whole = d.select("id", "text", F.array_sort(shingles(tokens(F.col("text")))).alias("set"))
+    n = F.size("set")
+    keyed = whole.select("id", F.sha2("text", 256).alias("exact"), F.sha2(X.normal_code(F.col("text")), 256).alias("normal"), F.when(n > 0, F.xxhash64("set")).alias("key"), n.alias("n"), F.slice("set", F.lit(1), F.least(n, n - _need(n, least) + _more(n))).alias("head"))
     keyed = G.cut(keyed)
-    exact = keyed.groupBy("exact").agg(F.min("id").alias("source"), F.min("normal").alias("normal"))
+    exact = keyed.groupBy("exact").agg(F.min("id").alias("source"), F.min("normal").alias("normal"), F.min("key").alias("key"))
     t1 = keyed.join(exact.select("exact", "source"), "exact").where("id != source").select("source", F.col("id").alias("target"), F.lit("Type1").alias("type"), F.lit(1.0).alias("score"))
     normal = exact.groupBy("normal").agg(F.min("source").alias("first"))
     t2 = exact.join(normal, "normal").where("source != first").select(F.col("first").alias("source"), F.col("source").alias("target"), F.lit("Type2").alias("type"), F.lit(1.0).alias("score"))
-    one = normal.select(F.col("first").alias("id"))
-    sets = G.cut(d.join(one, "id", "left_semi").select("id", shingles(tokens(F.col("text"))).alias("set")).where("size(set) > 0"))
-    signed = sets.select("id", signature()(F.col("set")).alias("sign"))
-    signed = G.cut(signed.select("id", F.explode(bands(F.col("sign"))).alias("b")).select("id", "b.band", "b.hash"))
-    lead = signed.groupBy("band", "hash").agg(F.min("id").alias("source"))
-    pairs = signed.join(lead, ["band", "hash"]).where("id != source").select("source", F.col("id").alias("target")).distinct()
-    a, b = sets.select(F.col("id").alias("source"), F.col("set").alias("a")), sets.select(F.col("id").alias("target"), F.col("set").alias("b"))
-    t3 = pairs.join(a, "source").join(b, "target").select("source", "target", F.lit("Type3").alias("type"), jaccard(F.col("a"), F.col("b")).alias("score")).where(F.col("score") >= least)
+
+    first = exact.where("key is not null").groupBy("key").agg(F.min(F.struct("source", "normal")).alias("one")).select("key", F.col("one.source").alias("first"), F.col("one.normal").alias("form"))
+    first = G.cut(first)
+    equal = exact.join(first, "key").where("source != first and normal != form").select(F.col("first").alias("source"), F.col("source").alias("target"), F.lit(1.0).alias("score"))
+    one = first.select("key", F.col("first").alias("id"))
+
+    def sets(alive: DataFrame) -> DataFrame:
+        ids = one.join(alive, "key", "left_semi")
+        own = d.join(ids.select("id"), "id", "left_semi").select(F.array_sort(shingles(tokens(F.col("text")))).alias("set")).where("size(set) > 0")
+        return own.select(F.xxhash64("set").alias("key"), F.size("set").alias("n"), "set").join(alive, "key", "left_semi").dropDuplicates(["key"])
+
+    heads = keyed.join(one, ["key", "id"], "left_semi").select("key", "n", "head")
+    found = set_links(sets, heads, least)
+    a, b = first.toDF("u", "x", "p"), first.toDF("v", "y", "q")
+    near = found.join(a, "u").join(b, "v").where("p != q").select(F.least("x", "y").alias("source"), F.greatest("x", "y").alias("target"), "score")
+    t3 = near.unionByName(equal).select("source", "target", F.lit("Type3").alias("type"), "score")
     return t1.unionByName(t2).unionByName(t3)
 
 

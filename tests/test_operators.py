@@ -1,6 +1,7 @@
 """Graphs, taint, clones, rules, readers, reports and streams on small fixtures."""
 
 import json
+import random
 import xml.etree.ElementTree as ET
 
 import pytest
@@ -8,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as X
 from lodestone.operators import detectors as D
 from lodestone.operators import graph as G
 from lodestone.operators import relations as R
@@ -88,6 +90,34 @@ def test_clones(spark):
     assert {r.node: r.component for r in M.clone_classes(links).collect()} == dict.fromkeys([1, 2, 3, 4], 1)
 
 
+@pytest.mark.parametrize("tile", [M.TILE, 2000])
+def test_clone_links_are_all_pairs(spark, monkeypatch, tile):
+    """Chains of versions, documents with a common passage, and copies whose strings differ, against every pair."""
+    monkeypatch.setattr(M, "TILE", tile)
+    rng = random.Random(7)
+    texts, words = [], [f"w{i}" for i in range(120)]
+    for i in range(150):  # each version has a few words changed
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            words[rng.randrange(120)] = f"x{i}-{rng.random()}"
+        texts.append(" ".join(words))
+    passage = " ".join(f"p{i}" for i in range(90))
+    texts += [f"{passage} " + " ".join(f"q{rng.randrange(4)}-{i // 3}-{k}" for k in range(rng.randrange(10, 60))) for i in range(150)]
+    long = " ".join(f"z{i}" for i in range(60))
+    texts += [f'{long} "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"', f'{long} "other words in here"', f"{long} other words in there", f"{long} OTHER words in there", "a b c d", "", None]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    forms = {r.id: r.form for r in docs.select("id", X.normal_code(F.col("text")).alias("form")).collect()}
+    sets = {i: frozenset(zip(*[(t or "").lower().split()[k:] for k in range(5)])) for i, t in enumerate(texts)}
+    first = {}
+    for i, s in sets.items():
+        first.setdefault(s, i)
+    ones = [i for i, s in sets.items() if s and first[s] == i]
+    want = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in ones for j in ones if i < j and forms[i] != forms[j]}
+    want = {p: x for p, x in want.items() if x >= 0.75} | {(first[s], i): 1.0 for i, s in sets.items() if s and first[s] != i and forms[i] != forms[first[s]]}
+    got = M.clone_links(docs, "id", "text").where("type = 'Type3'").collect()
+    assert len(want) > 400 and len(got) == len(want) and {(r.source, r.target): r.score for r in got} == pytest.approx(want)
+
+
 NODES = "path string, kind string, line int, depth int, text string, name string, full_name string, class string, method string, namespace string, params int, args array<string>, returns string, in_kinds array<string>, attrs map<string,string>"
 
 
