@@ -107,8 +107,9 @@ def near(docs: DataFrame, phrases: DataFrame, within: int, id_col: str = "doc_id
     """Proximity matches: (doc_id, phrase_id, start, end) of the least spans of at most ``within`` words with all terms of a phrase.
 
     ``phrases``: (phrase_id, terms). Spans are found per document from the
-    phrase's postings alone: for each position of its rarest term, the nearest
-    positions of the others.
+    phrase's postings alone: for each position of its rarest term, the least
+    span around it (of equals the first), from every start in reach to the next
+    place of each term.
     """
     text = F.col(text_col).cast("string")
     keyed = docs.select(F.col(id_col).cast("long").alias("key"), text.alias("text"))
@@ -121,9 +122,14 @@ def near(docs: DataFrame, phrases: DataFrame, within: int, id_col: str = "doc_id
     others = post.join(small(terms.select("phrase_id", "term")), "term").select("key", "phrase_id", "term", "pos", block.alias("block"))
     around = anchor.withColumn("block", F.explode(F.array(*[F.floor(F.col("anchor") / within) + k for k in (-1, 0, 1)])))
     pairs = around.join(others, ["key", "phrase_id", "block"]).where(F.abs(F.col("pos") - F.col("anchor")) < within)
-    nearest = pairs.groupBy("key", "phrase_id", "n", "anchor", "term").agg(F.min_by("pos", F.struct(F.abs(F.col("pos") - F.col("anchor")), "pos")).alias("pos"))
-    spans = nearest.groupBy("key", "phrase_id", "n", "anchor").agg(F.count(F.lit(1)).alias("c"), F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"))
-    return spans.where((F.col("c") == F.col("n")) & (F.col("end") - F.col("start") <= within)).select(F.col("key").alias("doc_id"), "phrase_id", "start", "end").distinct()
+    at = pairs.groupBy("key", "phrase_id", "n", "anchor").agg(F.collect_set(F.struct("term", "pos")).alias("at")).where(F.size(F.array_distinct(F.col("at.term"))) == F.col("n"))
+    begun = at.withColumn("start", F.explode(F.array_distinct(F.filter(F.col("at.pos"), lambda p: p <= F.col("anchor")))))
+    after = begun.select("key", "phrase_id", "n", "anchor", "start", F.explode(F.filter("at", lambda x: x["pos"] >= F.col("start"))).alias("x"))
+    nearest = after.groupBy("key", "phrase_id", "n", "anchor", "start", "x.term").agg(F.min("x.pos").alias("pos"))
+    spans = nearest.groupBy("key", "phrase_id", "n", "anchor", "start").agg(F.count(F.lit(1)).alias("c"), (F.greatest("anchor", F.max("pos")) + 1).alias("end"))
+    spans = spans.where((F.col("c") == F.col("n")) & (F.col("end") - F.col("start") <= within))
+    least = spans.groupBy("key", "phrase_id", "anchor").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("size"), "start", "end")).alias("s"))
+    return least.select(F.col("key").alias("doc_id"), "phrase_id", "s.start", "s.end").distinct()
 
 
 SQL = r"""

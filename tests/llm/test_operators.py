@@ -173,6 +173,22 @@ def test_proximity(spark):
     assert {(r.doc_id, r.start, r.end) for r in decontaminate.near(docs, phrases, 5).collect()} == {(1, 0, 3), (2, 0, 2)}
 
 
+def test_proximity_of_more_terms(spark):
+    rng = np.random.default_rng(3)
+    texts = ["c x b x a x x c"] + [" ".join(rng.choice(list("abcdx"), 25, p=[0.1, 0.15, 0.2, 0.2, 0.35])) for _ in range(40)]
+    phrases, within = {1: ["a", "b", "c"], 2: ["a", "b", "c", "d"]}, 5
+    got = decontaminate.near(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(phrases.items()), "phrase_id int, terms array<string>"), within).collect()
+    want = set()
+    for p, terms in phrases.items():
+        uses = Counter(w for t in texts for w in t.split())
+        rarest = min(terms, key=lambda t: (uses[t], t))
+        for d, w in enumerate(map(str.split, texts)):
+            for k in (k for k, x in enumerate(w) if x == rarest):
+                spans = [(j - i, i, j) for i in range(k + 1) for j in range(k + 1, min(i + within, len(w)) + 1) if set(terms) <= set(w[i:j])]
+                want |= {(d, p, *min(spans)[1:])} if spans else set()
+    assert (0, 1, 0, 5) in want and len(want) > 20 and {tuple(r) for r in got} == want
+
+
 def test_token_files(docs, none):
     from tokenizers import Tokenizer
 
