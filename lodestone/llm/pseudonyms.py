@@ -19,10 +19,17 @@ from pyspark.sql import functions as F
 
 ROUNDS = 10
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+#: Countries by the length of their account numbers, so that a word behind a number is not taken for its last group.
+LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL",
+    24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+_GROUP = " ?[A-Z0-9]"
+_ACCOUNTS = "|".join(f"(?:{c})[0-9]{{2}}(?:{_GROUP}{{4}}){{{(n - 4) // 4}}}" + (f"{_GROUP}{{{n % 4}}}" if n % 4 else "") + "(?![A-Za-z0-9])" for n, c in LENGTHS.items())
 #: What may be a value, by kind; the first that matches at a place is tried.
 PATTERNS = {
     "email": "(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9-]{1,63}\\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "iban": "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": f"(?<![A-Za-z0-9])(?:{_ACCOUNTS}|[A-Z]{{2}}[0-9]{{2}}(?:{_GROUP}{{4}}){{2,7}}(?:{_GROUP}{{1,3}})?(?![A-Za-z0-9]))",
     "ip": f"(?<![0-9A-Za-z.]){_OCTET}(?:\\.{_OCTET}){{3}}(?![0-9A-Za-z]|\\.[0-9])",
     "date": "(?<![0-9A-Za-z])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\\.[0-9]{2}\\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-Za-z])",
     "ssn": "(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",

@@ -240,6 +240,16 @@ def test_pseudonyms(spark, none):
     assert pseudonyms.pseudonymize(none).count() == 0
 
 
+def test_accounts_before_capitals(spark):
+    texts = ["BE68 5390 0754 7034 EUR 50", "ES9121000418450200051332 BIC", "BE68 5390 0754 7034 EURO 4111 1111 1111 1111", "to DE89 3704 0044 0532 0130 00 A1", "BE68539007547034 is lower", "BE68 5390 0754 7035 EUR"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = pseudonyms.pseudonymize(rows).cache()
+    got = {r.doc_id: [(v.kind, v.value) for v in r["values"]] for r in out.collect()}
+    assert got == {0: [("iban", texts[0][:19])], 1: [("iban", texts[1][:24])], 2: [("iban", texts[2][:19]), ("card", "4111 1111 1111 1111")], 3: [("iban", "DE89 3704 0044 0532 0130 00")], 4: [("iban", "BE68539007547034")], 5: []}
+    back = pseudonyms.pseudonymize(out.select("doc_id", "text"), inverse=True)
+    assert {r.doc_id: r.text for r in back.collect()} == dict(enumerate(texts))
+
+
 def test_pseudonyms_permute(spark):
     rows = spark.range(0, 256).selectExpr("id as doc_id", "concat('10.0.0.', id) as text")
     got = [r.text for r in pseudonyms.pseudonymize(rows).collect()]
