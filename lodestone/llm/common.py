@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a table of narrow rows (ids) is broadcast instead of shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Rows and bytes up to which a stored table is broadcast instead of shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 48 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,8 @@ _own: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see; a temporary one only where none is set (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not where:
         app = spark.sparkContext.applicationId
         where = _own.get(app) or _own.setdefault(app, tempfile.mkdtemp(prefix="lodestone-"))
@@ -48,16 +50,27 @@ def store(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded(spark: SparkSession, rows: int = 1000) -> None:
-    """Smaller Arrow batches than the default 10,000 rows, which of long texts would be more than a worker should hold; a setting of the user's own stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(rows))
+def bounded(spark: SparkSession, size: str = "4m") -> None:
+    """Bounds Arrow batches by bytes and not only by rows, which may be long texts; a bound of the user's own stays.
 
+    Batches are made when a result is written, so the setting has to outlive the call.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":  # Spark's own
+        spark.conf.set(key, size)
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it is a stored table of at most ``rows`` narrow rows; else unchanged."""
-    return F.broadcast(df) if df.count() <= rows else df
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it is a stored table of at most that many rows and bytes; else unchanged."""
+    wide = [F.octet_length(F.col(c).cast("string")) for c, t in df.dtypes if t in ("string", "binary") or t.startswith(("array", "struct", "map"))]
+    each = sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(16 * len(df.columns)))
+    n, total = df.agg(F.count(F.lit(1)), F.sum(each.cast("long"))).first()
+    return F.broadcast(df) if n <= rows and (total or 0) <= size else df
+
+
+def text_key(doc_id: Column, text: Column) -> Column:
+    """32 bytes that tell rows of different id or text apart; nulls are values of their own."""
+    return F.unhex(F.sha2(F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.when(text.isNull(), F.lit("\0")).otherwise(F.lit(":")), F.coalesce(text.cast("string"), F.lit(""))), 256))
 
 
 def let(value: Column, f) -> Column:

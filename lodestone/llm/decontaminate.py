@@ -77,22 +77,23 @@ def exact(docs: DataFrame, starts: DataFrame, windows: DataFrame) -> DataFrame:
     return held.select("key", F.explode(let(F.col("w"), lambda w: F.filter("c", lambda c: F.slice(w, c["start"] + 1, c["n"]) == c["terms"]))).alias("c")).select("key", "c.window_id", "c.start", "c.n")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", width: int = WINDOW, share: int = 20) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", width: int = WINDOW, share: int = 20, keyed: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A word inside any occurrence of a window is hit; ``contaminated`` is
     ``n_hit > 0`` and ``share * n_hit >= n_words``. Null and empty texts have no
-    words; equal texts are looked up once; items without words or id have no
-    windows. Other columns are ignored, on both sides.
+    words; what is found in a text holds for all rows that have it, whatever
+    their ids; items without words or id have no windows. Other columns are
+    ignored, on both sides. With ``keyed``, ``key`` is the text's (SHA-256).
     """
     text = F.col(text_col).cast("string")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("key"))
     rows = store(docs.select("doc_id", "key", F.size(words(F.col("text"))).cast("long").alias("n_words")), "rows")
-    keyed = docs.select("key", "text")
+    texts = docs.select("key", "text")
     distinct, owners = windows(items, item_col, width=width)
     distinct = store(distinct, "distinct")
-    starts = occurrences(keyed, distinct)
-    found = store(exact(keyed, starts, distinct).distinct(), "found")
+    starts = occurrences(texts, distinct)
+    found = store(exact(texts, starts, distinct).distinct(), "found")
 
     before = W.partitionBy("key").orderBy("start", "n").rowsBetween(W.unboundedPreceding, -1)
     spans = found.select("key", "start", "n").distinct().withColumn("done", F.coalesce(F.max(F.col("start") + F.col("n")).over(before), F.lit(0)))
@@ -100,7 +101,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     of = found.select("key", "window_id").distinct().join(small(owners), "window_id").groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     hit = store(hit.join(of, "key"), "hit")
     out = rows.join(small(hit), "key", "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long")).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), *(["key"] if keyed else []))
 
 
 def near(docs: DataFrame, phrases: DataFrame, within: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,12 +110,14 @@ def near(docs: DataFrame, phrases: DataFrame, within: int, id_col: str = "doc_id
     ``phrases``: (phrase_id, terms). Spans are found per document from the
     phrase's postings alone: for each position of its rarest term, the least
     span around it (of equals the first), from every start in reach to the next
-    place of each term.
+    place of each term. Null texts and phrases without terms have none; rows
+    that share an id but not a text are searched apart; null ids are kept.
     """
     text = F.col(text_col).cast("string")
-    keyed = docs.select(F.col(id_col).cast("long").alias("key"), text.alias("text"))
+    rows = docs.where(text.isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("key"))
+    keyed = docs.where(text.isNotNull()).select(F.unhex(F.sha2(text, 256)).alias("key"), text.alias("text"))
     terms = store(phrases.select("phrase_id", F.size(F.array_distinct("terms")).alias("n"), F.explode(F.array_distinct("terms")).alias("term")), "near")
-    post = store(tokens(keyed).join(small(terms.select("term").distinct()), "term"), "index")
+    post = store(tokens(keyed).join(small(terms.select("term").distinct()), "term").distinct(), "index")  # equal texts once
     uses = post.groupBy("term").agg(F.count(F.lit(1)).alias("uses"))
     first = terms.join(uses, "term", "left").withColumn("rank", F.row_number().over(W.partitionBy("phrase_id").orderBy("uses", "term"))).where("rank = 1")
     anchor = post.join(small(first.select("phrase_id", "n", "term")), "term").select("key", "phrase_id", "n", F.col("pos").alias("anchor"))
@@ -129,7 +132,7 @@ def near(docs: DataFrame, phrases: DataFrame, within: int, id_col: str = "doc_id
     spans = nearest.groupBy("key", "phrase_id", "n", "anchor", "start").agg(F.count(F.lit(1)).alias("c"), (F.greatest("anchor", F.max("pos")) + 1).alias("end"))
     spans = spans.where((F.col("c") == F.col("n")) & (F.col("end") - F.col("start") <= within))
     least = spans.groupBy("key", "phrase_id", "anchor").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("size"), "start", "end")).alias("s"))
-    return least.select(F.col("key").alias("doc_id"), "phrase_id", "s.start", "s.end").distinct()
+    return rows.join(least.select("key", "phrase_id", "s.start", "s.end").distinct(), "key").select("doc_id", "phrase_id", "start", "end").distinct()
 
 
 SQL = r"""

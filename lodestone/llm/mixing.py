@@ -5,8 +5,7 @@ target over its source's size. Within a source, documents stand in order of
 size; the expected copies are summed along that order in fixed-point numbers,
 one offset per source is added, and a document is emitted once per whole number
 that its step crosses. As neighbours have like sizes, the words taken stay
-within about one document of the target. The offset is random, and of a few
-evenly spaced ones that this draw gives, that with the nearest total is added.
+within about one document, the largest at most, of the target.
 
 The running sum is made in two levels, blocks of a source and then rows of a
 block, and the number of blocks follows the number of rows: no source, however
@@ -19,15 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import small, store
+from .common import small, store, text_key
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Fixed-point bits of an expected copy: exact to 1.5e-8, and 4e10 documents a source fit a long.
 BITS = 26
 #: Rows of one block of the running sum, about.
 BLOCK_ROWS = 2048
-#: Evenly spaced offsets among which a source's is chosen.
-OFFSETS = 16
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
@@ -51,15 +48,20 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3
     return per.select("source", "source_size", F.least((cap * F.col("source_size")).cast("double"), F.col("level") * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: str = "mix", keyed: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, source, size (words), source_size, target, copies (0 to ``cap``), taken (words).
 
     Null or empty text has size 0 and takes nothing; null sources are one
     source, after all others; repeated rows are taken apart. A null id orders
-    as 0. Equal inputs and seed give equal results. An empty table gives an
-    empty result. Other columns are ignored.
+    as 0. Rows that tie in size and id stand in order of a hash of their text;
+    equal rows are interchangeable. Equal inputs and seed give equal results. An
+    empty table gives an empty result. Other columns are ignored. With
+    ``keyed``, ``key`` identifies id and text.
     """
-    sizes = store(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    mark = F.md5(F.concat(text, F.lit(":"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).cast("string")))
+    sizes = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), mark.alias("mark"), *([text_key(F.col(id_col), F.col(text_col)).alias("key")] if keyed else []))
+    sizes = store(sizes, "sizes")
     goal = store(targets(sizes, weights, cap), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce("source", F.lit("\0")))), 1, 6), 16, 10).cast("long") * (1 << (BITS - 24)) + (1 << (BITS - 25))
@@ -70,7 +72,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     strata = store(rows.groupBy("source", "class").agg(F.count(F.lit(1)).alias("n")), "strata")
     strata = strata.select(F.col("source").alias("s0"), F.col("class").alias("c0"), F.ceil(F.col("n") / BLOCK_ROWS).alias("parts"))
     rows = rows.join(small(strata), F.col("source").eqNullSafe(F.col("s0")) & (F.col("class") == F.col("c0"))).drop("s0", "c0")
-    rows = rows.withColumn("part", F.pmod(F.coalesce("doc_id", F.lit(0)), "parts")).drop("parts")
+    rows = rows.withColumn("part", F.pmod(F.conv(F.substring("mark", 1, 8), 16, 10).cast("long"), "parts")).drop("parts")
     goal = goal.withColumnRenamed("source", "s1")
     rows = rows.join(small(goal), F.col("source").eqNullSafe(F.col("s1"))).drop("s1")
 
@@ -78,22 +80,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     in_source = W.partitionBy("source").orderBy("class", "part").rowsBetween(W.unboundedPreceding, -1)
     blocks = store(blocks.withColumn("base", F.coalesce(F.sum("sum").over(in_source), F.lit(0))).select(F.col("source").alias("s2"), F.col("class").alias("c2"), F.col("part").alias("p2"), "base"), "blocks")
     rows = rows.join(small(blocks), F.col("source").eqNullSafe(F.col("s2")) & (F.col("class") == F.col("c2")) & (F.col("part") == F.col("p2")))
-    in_block = W.partitionBy("source", "class", "part").orderBy("size", "doc_id").rowsBetween(W.unboundedPreceding, 0)
-    rows = store(rows.select("doc_id", "source", "size", "source_size", "target", "step", "draw", (F.col("base") + F.sum("step").over(in_block)).alias("after")), "summed")
+    in_block = W.partitionBy("source", "class", "part").orderBy("size", "doc_id", "mark").rowsBetween(W.unboundedPreceding, 0)
+    kept = ["key"] if keyed else []
+    rows = rows.select("doc_id", *kept, "source", "size", "source_size", "target", "step", "draw", (F.col("base") + F.sum("step").over(in_block)).alias("after"))
 
-    def copies(offset):
-        crossed = F.shiftright(F.col("after") + offset, BITS) - F.shiftright(F.col("after") - F.col("step") + offset, BITS)
-        return F.when(F.col("size") > 0, F.least(crossed, F.lit(cap))).otherwise(F.lit(0)).cast("long")
-
-    drawn = [(F.col("draw") + k * ((1 << BITS) // OFFSETS)).bitwiseAND((1 << BITS) - 1) for k in range(OFFSETS)]
-    off = [F.struct(F.abs(F.sum(F.col("size") * copies(x)) - F.first("target")).alias("away"), F.lit(k).alias("k"), F.first(x).alias("offset")) for k, x in enumerate(drawn)]
-    best = store(rows.groupBy("source").agg(F.least(*off).alias("o")).select(F.col("source").alias("s3"), "o.offset"), "offsets")
-    rows = rows.join(small(best), F.col("source").eqNullSafe(F.col("s3"))).withColumn("copies", copies(F.col("offset")))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    crossed = F.shiftright(F.col("after") + F.col("draw"), BITS) - F.shiftright(F.col("after") - F.col("step") + F.col("draw"), BITS)
+    rows = rows.withColumn("copies", F.when(F.col("size") > 0, F.least(crossed, F.lit(cap))).otherwise(F.lit(0)).cast("long"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *kept)
 
 
 SQL = r"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(text, '') || ':' || coalesce(doc_id, 0)) AS mark FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 ranked AS (SELECT *, [1, 2, 3][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM per),
 levels AS (SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
@@ -103,11 +100,8 @@ steps AS (SELECT *, floor(CASE WHEN source_size > 0 THEN target / source_size EL
     ('0x' || substr(md5('mix:' || coalesce(source, chr(0))), 1, 6))::BIGINT * 4 + 2 AS off FROM goal),
 classed AS (SELECT d.*, source_size, target, step, off, length(bin(size)) * 4 + ((size >> greatest(length(bin(size)) - 3, 0)) & 3) AS class
     FROM d JOIN steps ON d.source IS NOT DISTINCT FROM steps.source),
-parted AS (SELECT *, coalesce(doc_id, 0) % ceil(count(*) OVER (PARTITION BY source, class) / 2048.0)::BIGINT AS part FROM classed),
-summed AS (SELECT *, sum(step) OVER (PARTITION BY source ORDER BY class, part, size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS after FROM parted),
-tried AS (SELECT source, k, any_value((off + k * 4194304) & 67108863) AS o, abs(sum(size * CASE WHEN size > 0 THEN least((after + ((off + k * 4194304) & 67108863)) // 67108864 - (after - step + ((off + k * 4194304) & 67108863)) // 67108864, 3) ELSE 0 END) - any_value(target)) AS away
-    FROM summed, range(16) t(k) GROUP BY source, k),
-best AS (SELECT source, arg_min(o, away * 100 + k / 1000.0) AS o FROM tried GROUP BY source),
-taken AS (SELECT summed.*, CASE WHEN size > 0 THEN least((after + o) // 67108864 - (after - step + o) // 67108864, 3) ELSE 0 END AS copies FROM summed JOIN best ON summed.source IS NOT DISTINCT FROM best.source)
+parted AS (SELECT *, ('0x' || substr(mark, 1, 8))::BIGINT % ceil(count(*) OVER (PARTITION BY source, class) / 2048.0)::BIGINT AS part FROM classed),
+summed AS (SELECT *, sum(step) OVER (PARTITION BY source ORDER BY class, part, size, doc_id, mark ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS after FROM parted),
+taken AS (SELECT *, CASE WHEN size > 0 THEN least((after + off) // 67108864 - (after - step + off) // 67108864, 3) ELSE 0 END AS copies FROM summed)
 SELECT doc_id, source, size, source_size, target, copies::BIGINT AS copies, (copies * size)::BIGINT AS taken FROM taken
 """

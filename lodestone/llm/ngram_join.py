@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import bounded, flat, mix, pieces, powers, range_hashes, small, store
+from .common import bounded, flat, mix, pieces, range_hashes, small, store, text_key
 
 WORDS = 5
 #: Text bytes that are hashed at a time, n-grams in a block of columns, and classes whose totals are summed at once.
@@ -87,11 +87,11 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple
     return out[keep], kept[out_offsets]
 
 
-def _sums(grams: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _sums(grams: np.ndarray, offsets: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Two order-free 64-bit sums of each row's hashes."""
     out = []
-    for salt in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25):
-        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(grams ^ np.uint64(salt)))])
+    for own in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25):
+        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(grams ^ np.uint64(own + salt)))])
         out.append((total[offsets[1:]] - total[offsets[:-1]]).view(np.int64))
     return out[0], out[1]
 
@@ -103,29 +103,36 @@ def _each(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[tuple[pa
             yield batch.slice(i, j - i), *shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, grams, at in _each(batches):
-        a, b = _sums(grams, at)
-        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(at)), pa.array(a), pa.array(b)], ["doc_id", "n", "node", "check"])
+def _signed(salt: int):
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, grams, at in _each(batches):
+            a, b = _sums(grams, at, salt)
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(at)), pa.array(a), pa.array(b), *rows.columns[2:]], ["doc_id", "n", "node", "check", *rows.schema.names[2:]])
 
+    return sign
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, grams, at in _each(batches):
-        grams_list = pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), pa.array(grams.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array(_sums(grams, at)[0]), pa.array(np.diff(at)), grams_list.cast(pa.list_(pa.int64()))], ["node", "n", "grams"])
 
+def _sets(salt: int):
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, grams, at in _each(batches):
+            grams_list = pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), pa.array(grams.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(_sums(grams, at, salt)[0]), pa.array(np.diff(at)), grams_list.cast(pa.list_(pa.int64()))], ["node", "n", "grams"])
 
-def _blocks(blocks: int):
+    return gather
+
+
+def _blocks(blocks: int, salt: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, grams, at in _each(batches):
-            node, once = np.unique(_sums(grams, at)[0], return_index=True)
+            names = _sums(grams, at, salt)[0]
+            node, once = np.unique(names, return_index=True)
             size = np.diff(at)
             chosen = np.sort(once[size[once] > 0])
             mask = np.zeros(len(size), bool)
             mask[chosen] = True
             mask = np.repeat(mask, size)
             row = np.repeat(np.arange(len(size)), size)[mask]
-            h, nodes = grams[mask], _sums(grams, at)[0]
+            h, nodes = grams[mask], names
             block = ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.uint16 if blocks <= 65536 else np.int64)
             order = np.argsort(block, kind="stable")
             block, row, key = block[order], row[order], (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order]
@@ -228,40 +235,47 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, keyed: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, the least id that links reach.
 
     Null or empty text and text without words: no n-grams, linked with nothing,
     ``component_id`` is its own id. Rows with one set of n-grams, repeated rows
     and repeated ids among them, are one class. A null id stays null and is
     passed over by the minimum. Other columns are ignored. An empty table
-    gives an empty result.
+    gives an empty result. With ``keyed``, ``key`` identifies the row's id and
+    text and ``comp`` its component, null without words.
     """
     bounded(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = store(docs.mapInArrow(_signed, "doc_id long, n long, node long, check long"), "rows")
-    classes = store(rows.where("n > 0").groupBy("node", "check", "n").agg(F.min("doc_id").alias("rep"), F.max(F.col("doc_id").isNull().cast("int")).alias("odd")), "classes")
+    keys = [text_key(F.col(id_col), F.col(text_col)).alias("key")] if keyed else []
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keys)
+    salt, clash = 0, True
+    while clash:  # until every class has a name of its own, which at once is all but certain
+        rows = store(docs.mapInArrow(_signed(salt), "doc_id long, n long, node long, check long" + ", key binary" * keyed), "rows")
+        classes = store(rows.where("n > 0").groupBy("node", "check", "n").agg(F.min("doc_id").alias("rep"), F.max(F.col("doc_id").isNull().cast("int")).alias("odd")), "classes")
+        clash = classes.groupBy("node").count().where("count > 1").limit(1).count() > 0
+        salt += clash
+    docs = docs.drop("key")
     total, many = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     blocks, ranges = max(16, -(-total // BLOCK_NGRAMS)), max(1, -(-many // RANGE_CLASSES))
 
-    shared = docs.mapInArrow(_blocks(blocks), "block long, nodes binary, counts binary, keys binary").groupBy("block").applyInPandas(_shared(ranges), "part long, nodes binary, counts binary").groupBy("part").applyInPandas(_totals, "node long, shared long")
+    shared = docs.mapInArrow(_blocks(blocks, salt), "block long, nodes binary, counts binary, keys binary").groupBy("block").applyInPandas(_shared(ranges), "part long, nodes binary, counts binary").groupBy("part").applyInPandas(_totals, "node long, shared long")
     alive = store(classes.join(shared, "node").where(100 * F.col("shared") >= percent * F.col("n")).select("node", "rep"), "alive")
 
     chosen = docs.join(small(alive.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi") if not alive.where("rep is null").limit(1).count() else docs
-    sets = chosen.mapInArrow(_sets, "node long, n long, grams array<long>").where("n > 0").join(small(alive.select("node")), "node", "left_semi")
+    sets = chosen.mapInArrow(_sets(salt), "node long, n long, grams array<long>").where("n > 0").join(small(alive.select("node")), "node", "left_semi")
     sets = store(sets.dropDuplicates(["node"]), "sets")
 
     post = sets.select("node", "n", F.explode("grams").alias("h"))
     common = post.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     post = post.join(common, "h")
     post = store(post, "postings")
-    salt = [F.col("h"), F.xxhash64("h"), F.xxhash64("h", F.lit(1))]
-    nodes = post.groupBy("node").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("s"), F.array(*map(F.min, salt)).alias("keys"))
+    mixes = [F.col("h"), F.xxhash64("h"), F.xxhash64("h", F.lit(1))]
+    nodes = post.groupBy("node").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("s"), F.array(*map(F.min, mixes)).alias("keys"))
     nodes = store(nodes.where(100 * F.col("s") >= percent * F.col("n")), "nodes")
 
-    keyed = nodes.select("node", "n", "s", F.posexplode("keys").alias("i", "k"))
-    pivots = keyed.groupBy("i", "k").agg(F.max(F.struct((F.col("s") / F.col("n")).alias("own"), F.col("node").alias("v"), F.col("n").alias("m"), F.col("s").alias("t"))).alias("p"))
-    pairs = keyed.join(pivots, ["i", "k"]).select(F.col("node").alias("u"), "n", "s", "p.v", "p.m", "p.t").where("u != v")
+    hashed = nodes.select("node", "n", "s", F.posexplode("keys").alias("i", "k"))
+    pivots = hashed.groupBy("i", "k").agg(F.max(F.struct((F.col("s") / F.col("n")).alias("own"), F.col("node").alias("v"), F.col("n").alias("m"), F.col("s").alias("t"))).alias("p"))
+    pairs = hashed.join(pivots, ["i", "k"]).select(F.col("node").alias("u"), "n", "s", "p.v", "p.m", "p.t").where("u != v")
     pairs = pairs.where(_bounds(percent)).select("u", "v").distinct()
     first = store(linked(pairs, sets, percent), "links")
     labels = components(first)
@@ -283,9 +297,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     named = classes.select("node", "rep").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "comp").groupBy("node").agg(F.min("component_id").alias("component_id"))
+    named = named.join(least, "comp").select("node", "comp", "component_id")
     out = rows.join(named, (rows["node"] == named["node"]) & (rows["n"] > 0), "left")
-    return out.select(rows["doc_id"], rows["n"].alias("n_shingles"), F.when(rows["n"] > 0, named["component_id"]).otherwise(rows["doc_id"]).alias("component_id"))
+    more = [rows["key"], named["comp"]] if keyed else []
+    return out.select(rows["doc_id"], rows["n"].alias("n_shingles"), F.when(rows["n"] > 0, named["component_id"]).otherwise(rows["doc_id"]).alias("component_id"), *more)
 
 
 def _bounds(percent: int):

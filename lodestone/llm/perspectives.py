@@ -24,8 +24,9 @@ def perspectives(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     ``segment`` is a header and the text up to an end mark; joined in order of
     ``start`` the segments are the dialogue as ``speaker``, characters ``start``
     to ``end`` each. ``learn_from`` to ``learn_to`` is what the assistant says,
-    end mark included; in other turns it is empty, at ``end``. Markup inside a text is broken up
-    so that it can't pass for a header. Null text is empty, a null role is the
+    end mark included; in other turns it is empty, at ``end``. Markup inside a
+    text or role is broken up, and line ends in a role become spaces, so that
+    neither can pass for a header. Null text is empty, a null role is the
     participant ``unknown``, null turns come first; turns that tie stand in
     order of role and text; repeated rows are spoken twice. A conversation with
     system turns only has no participant and no rows. Other columns are ignored.
@@ -33,7 +34,8 @@ def perspectives(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     t = turns.select(F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("unknown")).alias("role"), F.replace(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit("<|"), F.lit("< |")).alias("body"))
     t = t.withColumn("block", F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / BLOCK))
     speakers = t.where(F.col("role") != system).select(F.col("conv_id").alias("of"), F.col("role").alias("speaker")).distinct()
-    header = F.when(F.col("role") == system, F.lit("<|system|>\n")).when(F.col("role") == F.col("speaker"), F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user "), F.col("role"), F.lit("|>\n")))
+    name = F.translate(F.replace(F.replace(F.col("role"), F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >")), "\r\n", "  ")
+    header = F.when(F.col("role") == system, F.lit("<|system|>\n")).when(F.col("role") == F.col("speaker"), F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user "), name, F.lit("|>\n")))
     t = t.join(speakers, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of").withColumn("header", header)
     t = t.withColumn("size", (F.length("header") + F.length("body") + len(END)).cast("long"))
     blocks = t.groupBy("conv_id", "speaker", "block").agg(F.sum("size").alias("sum"))
@@ -50,7 +52,7 @@ def perspectives(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
 SQL = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS body FROM conversations),
 s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
-h AS (SELECT t.*, speaker, CASE WHEN role = 'system' THEN '<|system|>' || chr(10) WHEN role = speaker THEN '<|assistant|>' || chr(10) ELSE '<|user ' || role || '|>' || chr(10) END AS header
+h AS (SELECT t.*, speaker, CASE WHEN role = 'system' THEN '<|system|>' || chr(10) WHEN role = speaker THEN '<|assistant|>' || chr(10) ELSE '<|user ' || translate(replace(replace(role, '<|', '< |'), '|>', '| >'), chr(13) || chr(10), '  ') || '|>' || chr(10) END AS header
     FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
 p AS (SELECT *, sum(length(header) + length(body) + 8) OVER (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role, body ROWS UNBOUNDED PRECEDING)::BIGINT AS "end" FROM h)
 SELECT conv_id, speaker, turn, role, header || body || '<|end|>' || chr(10) AS segment, "end" - length(header) - length(body) - 8 AS start, "end",

@@ -23,8 +23,10 @@ from .common import bounded, flat, pieces
 WINDOW, STEP, WIDTH, FILTERS = 12, 3, 4, 16
 #: Windows of a chunk (so 396 bytes every 360), and by how many the next one begins later.
 CHUNK, HOP = 129, 120
-#: Labelled rows that are learned from at most, and bytes of each, in evenly spaced slices.
-SAMPLE_ROWS, SAMPLE_BYTES, SLICE = 3000, 6144, 1536
+#: Labelled rows, with their whole texts, that are learned from at most.
+SAMPLE_ROWS = 3000
+#: Chunks whose responses are in memory at once, in a text of any length.
+CHUNKS = 4096
 EPOCHS, BATCH, RATE = 10, 32, 0.01
 SCORE_BYTES = 1 << 20
 
@@ -94,14 +96,18 @@ def summary(model: Model, pooled: np.ndarray, many: np.ndarray) -> tuple[np.ndar
     return active, both
 
 
+def responses(model: Model, data: np.ndarray, begin: np.ndarray, spans: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Responses of some chunks at a time, these chunks' windows counted from their first, and that first window."""
+    for i in range(0, len(spans), CHUNKS):
+        own = spans[i : i + CHUNKS]
+        a, b = int(own[0, 0]), int(own[-1, 1])
+        yield respond(model, data, begin[a:b]), own - a, a
+
+
 def score(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """One probability for each text."""
     data, begin, spans, many = chunks(data, offsets)
-    pooled = []
-    for i in range(0, len(spans), 4096):  # bounded memory for a text of any length
-        s = spans[i : i + 4096]
-        a, b = s[0, 0], s[-1, 1]
-        pooled.append(pool(respond(model, data, begin[a:b]), s - a))
+    pooled = [pool(values, own) for values, own, _ in responses(model, data, begin, spans)]
     z = summary(model, np.concatenate(pooled), many)[1] @ model.out
     return 1 / (1 + np.exp(-z.astype(np.float64)))
 
@@ -123,8 +129,11 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model:
             rows = order[i : i + BATCH]
             size = np.array([len(texts[j]) for j in rows])
             data, begin, spans, many = chunks(np.frombuffer(b"".join(texts[j] for j in rows), np.uint8), np.concatenate([[0], np.cumsum(size)]))
-            values = respond(model, data, begin)
-            pooled = pool(values, spans)
+            pooled, tops = [], []
+            for values, own, a in responses(model, data, begin, spans):
+                pooled.append(pool(values, own))
+                tops.append(first_windows(values, own) + a)
+            pooled, tops = np.concatenate(pooled), np.concatenate(tops)
             active, both = summary(model, pooled, many)
             p = 1 / (1 + np.exp(-(both @ model.out)))
             dz = ((p - labels[rows]) * weight[rows] / len(rows)).astype(np.float32)
@@ -137,13 +146,12 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model:
             # each pooled response comes from one window: the first that gives it
             chunk, f = np.nonzero(d_active)
             g = d_active[chunk, f]
-            source = first_window(values, spans, pooled, chunk, f)
-            per = np.zeros((len(begin), FILTERS), np.float32)
+            used, source = np.unique(tops[chunk, f], return_inverse=True)
+            per = np.zeros((len(used), FILTERS), np.float32)
             np.add.at(per, (source, f), g)
-            used = np.flatnonzero(per.any(1))
             windows = model.embed[data[begin[used][:, None] + np.arange(WINDOW)]].reshape(len(used), WINDOW * WIDTH)
-            d_filters = windows.T @ per[used]
-            d_windows = (per[used] @ model.filters.T).reshape(-1, WIDTH)
+            d_filters = windows.T @ per
+            d_windows = (per @ model.filters.T).reshape(-1, WIDTH)
             d_embed = np.zeros_like(model.embed)
             np.add.at(d_embed, data[begin[used][:, None] + np.arange(WINDOW)].ravel(), d_windows)
             t += 1
@@ -155,22 +163,9 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model:
     return model
 
 
-def first_window(values: np.ndarray, spans: np.ndarray, pooled: np.ndarray, chunk: np.ndarray, f: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(chunk), np.int64)
-    bounds = np.searchsorted(chunk, np.arange(len(spans) + 1))
-    for k in range(len(spans)):
-        a, b = bounds[k], bounds[k + 1]
-        if a < b:
-            out[a:b] = spans[k, 0] + values[spans[k, 0] : spans[k, 1]].argmax(0)[f[a:b]]
-    return out
-
-
-def slices(text: bytes) -> bytes:
-    """All of a text of up to SAMPLE_BYTES; else evenly spaced slices, the first and last bytes among them."""
-    if len(text) <= SAMPLE_BYTES:
-        return text
-    n = SAMPLE_BYTES // SLICE
-    return b" ".join(text[i : i + SLICE] for i in np.linspace(0, len(text) - SLICE, n).astype(int).tolist())
+def first_windows(values: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """The first window with the greatest response, of each filter in each chunk."""
+    return np.array([a + values[a:b].argmax(0) for a, b in spans.tolist()])
 
 
 def with_crops(texts: list[bytes], labels: np.ndarray, seed: int = 11) -> tuple[list[bytes], np.ndarray]:
@@ -192,19 +187,21 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """Learn from at most SAMPLE_ROWS labelled rows that aren't held out, as many of each label where there are.
 
-    Rows are chosen by a hash of their id, so the choice is the same on every
-    run. Null labels, ids and texts are passed over.
+    Ids are chosen by a hash, and of their rows, should ids repeat, those that
+    come first by (hash, id, text): a total order but for equal rows, so the
+    choice is the same however the table is partitioned. An id with both labels
+    counts as 1. Null labels, ids and texts are passed over; without rows, every
+    text scores 1/2.
     """
+    most = SAMPLE_ROWS // 2
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     known = known.select("doc_id", "y", F.xxhash64("doc_id").alias("h"))
-    chosen = known.where("y = 0").orderBy("h", "doc_id").limit(SAMPLE_ROWS // 2).unionByName(known.where("y = 1").orderBy("h", "doc_id").limit(SAMPLE_ROWS // 2))
-    chosen = docs.sparkSession.createDataFrame(chosen.select("doc_id", "y").collect(), "doc_id long, y int")
-    text = F.col("text").cast("string").cast("binary")
-    n = F.octet_length("text")
-    places = [F.substring(text, (F.lit(1) + F.floor((n - SLICE) * k / (SAMPLE_BYTES // SLICE - 1))).cast("int"), F.lit(SLICE)) for k in range(SAMPLE_BYTES // SLICE)]
-    body = F.when(n <= SAMPLE_BYTES, text).otherwise(F.concat_ws(" ", *[x.cast("string") for x in places]).cast("binary"))
-    rows = docs.join(F.broadcast(chosen), "doc_id").where("text is not null").select("doc_id", "y", body.alias("body")).limit(2 * SAMPLE_ROWS).collect()
+    chosen = [r for y in (0, 1) for r in known.where(F.col("y") == y).orderBy("h", "doc_id").limit(most).collect()]
+    chosen = docs.sparkSession.createDataFrame(chosen, known.schema)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("body")).where("body is not null")
+    rows = rows.join(F.broadcast(chosen), "doc_id")
+    rows = [r for y in (0, 1) for r in rows.where(F.col("y") == y).orderBy("h", "doc_id", "body").limit(most).collect()]
     rows = sorted(rows, key=lambda r: (r["doc_id"], bytes(r["body"])))
     return train(*with_crops([bytes(r["body"]) for r in rows], np.array([r["y"] for r in rows], np.float32)))
 

@@ -35,7 +35,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymize(table(spark, sf_dir, "documents"))
+    return pseudonyms.pseudonymize(table(spark, sf_dir, "documents"), key=spark.conf.get("spark.lodestone.pseudonyms.key", "a key for tests, not a secret"))
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transport.features(transport.write_media(table(spark, sf_dir, "documents")))
+    return transport.features(transport.write_units(transport.write_media(table(spark, sf_dir, "documents")))).drop("units")
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,13 +5,15 @@ a repeat. So each 200-byte string is filed under its anchor, the 32 bytes in it
 with the least hash (the last of equals); equal strings have equal anchors at
 the same place. Anchors that occur once are dropped with all their strings.
 
-A shard (one chunk of texts) keeps, per block of anchors, its share of the
-transform: the suffixes that begin at its anchors in sorted order, each with
-the bytes that precede it. Blocks then merge shards:
-
-* The interleave of the shards' orders begins with one run per anchor and is
-  refined by the next eight bytes in each round. Only runs that mix shards and
-  aren't told apart yet are touched; orders inside a shard are taken over. The
+A shard (one chunk of texts) keeps its share of the transform: the suffixes that
+begin at its anchors in sorted order, each with the bytes that precede it (a
+context). Equal contexts of several shards stay with the first of these. Blocks
+of anchors then merge shards:
+
+* Every suffix starts in the run of its anchor. Each round refines the
+  interleave of the shards' orders by two more bytes: as a shard's suffixes are
+  in order, its (run, bytes) pairs are a sorted list, and the rank of each pair in
+  the union of these lists is its new run. No suffix is sorted again. The
   round that splits two neighbours gives their common prefix.
 * From the merged order, the preceding bytes lead left (LF steps): a stable
   deal by the preceding byte gives the order of the suffixes one byte earlier.
@@ -19,8 +21,12 @@ the bytes that precede it. Blocks then merge shards:
   ``200 - d`` are a repeated interval. Suffixes whose left context is unique
   drop out.
 
-Bytes are compared with bytes throughout; the hash only files them. Identical
-texts are found first, and one of each goes through the merge.
+An anchor with very many contexts is split: the strings that begin in a range of
+SPLIT places share all but SPLIT - 1 of their bytes, which name a group of its own.
+
+Bytes are compared with bytes; hashes of 64 bits only file them, and what is
+taken for equal across shards has one SHA-256. Identical texts are found first,
+and one of each goes through the merge.
 """
 
 from __future__ import annotations
@@ -41,6 +47,8 @@ REACH = LENGTH - GRAM  # how far left of its anchor a string may begin
 CHUNK_BYTES = 1 << 20
 #: Anchors in a block when repeats are counted, contexts in a block that is merged, texts in a range of keys.
 BLOCK_ANCHORS, BLOCK_CONTEXTS, RANGE_TEXTS = 250_000, 5_000, 16_384
+#: Contexts of an anchor beyond which it is split, and places in one part of it.
+HOT_CONTEXTS, SPLIT = 50_000, 8
 PAD = 255  # in no UTF-8 text
 
 
@@ -117,84 +125,87 @@ def _by_text(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": found, "anchors": [fields[x].tobytes() for x in np.split(order, first[1:])]})
 
 
-def _contexts(blocks: int):
-    """(block, ...): a shard's sorted suffixes at anchors, with the bytes before them, per block."""
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes, all of one length, as a column."""
+    n, width = rows.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * width), pa.py_buffer(np.ascontiguousarray(rows))])
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = flat(batch.column(1))
-            keys = batch.column(0).to_numpy()
-            fields_data, fields_at = flat(batch.column(2))
-            for i, j in pieces(offsets, CHUNK_BYTES):
-                own = data[offsets[i] : offsets[j]]
-                fields = np.frombuffer(fields_data[fields_at[i] : fields_at[j]].tobytes(), np.int32).reshape(-1, 3).astype(np.int64)
-                text = np.repeat(np.arange(j - i), np.diff(fields_at[i : j + 1]) // 12)
-                at = fields[:, 0] + (offsets[i:j] - offsets[i])[text]
-                lo, hi = fields[:, 1], fields[:, 2]
-                gram = range_hashes(own, at, at + GRAM)
-                whole = range_hashes(own, at - hi, at + LENGTH - lo) ^ (lo * 256 + hi).astype(np.uint64)
-                _, once, inverse = np.unique(whole, return_index=True, return_inverse=True)
-                a, lo, hi, h = at[once], lo[once], hi[once], gram[once]
-                cols = np.arange(LENGTH)
-                right = np.where(cols < (LENGTH - lo)[:, None], own[np.minimum(a[:, None] + cols, len(own) - 1)], PAD).astype(np.uint8)
-                cols = np.arange(REACH)
-                left = np.where(cols < hi[:, None], own[np.maximum(a[:, None] - 1 - cols, 0)], PAD).astype(np.uint8)
-                block = ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
-                words = right.view(">u8").astype(np.uint64)
-                order = np.lexsort([words[:, k] for k in range(words.shape[1] - 1, -1, -1)] + [h, block])
-                rank = np.empty(len(order), np.int64)
-                rank[order] = np.arange(len(order))
-                found, first = np.unique(block[order], return_index=True)
-                ends = np.append(first[1:], len(order))
-                seen = rank[inverse]
-                by = np.argsort(seen, kind="stable")
-                cut = np.searchsorted(seen[by], np.append(first, len(order)))
-                for k, b in enumerate(found.tolist()):
-                    x, o = order[first[k] : ends[k]], by[cut[k] : cut[k + 1]]
-                    out = (h[x], lo[x].astype(np.uint8), hi[x].astype(np.uint8), right[x], left[x], (seen[o] - first[k]).astype(np.int32), keys[i:j][text[o]], fields[o, 0].astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64())] + [pa.array([y.tobytes()], pa.binary()) for y in out], NAMES)
 
-    return deal
+def _ragged(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    at = np.concatenate([[0], np.cumsum(sizes)]) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
 
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A shard's distinct contexts in the order of (anchor, suffix), and where they occur."""
+    from pyspark import TaskContext
 
-NAMES = ["block", "hashes", "lo", "hi", "right", "left", "entry", "keys", "places"]
-KINDS = {"hashes": np.uint64, "lo": np.uint8, "hi": np.uint8, "right": np.uint8, "left": np.uint8, "entry": np.int32, "keys": np.int64, "places": np.int32}
+    part, made = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        data, offsets = flat(batch.column(1))
+        keys = batch.column(0).to_numpy()
+        fields_data, fields_at = flat(batch.column(2))
+        for i, j in pieces(offsets, CHUNK_BYTES):
+            own = data[offsets[i] : offsets[j]]
+            fields = np.frombuffer(fields_data[fields_at[i] : fields_at[j]].tobytes(), np.int32).reshape(-1, 3).astype(np.int64)
+            text = np.repeat(np.arange(j - i), np.diff(fields_at[i : j + 1]) // 12)
+            at = fields[:, 0] + (offsets[i:j] - offsets[i])[text]
+            lo, hi = fields[:, 1], fields[:, 2]
+            gram = range_hashes(own, at, at + GRAM)
+            cols = np.arange(LENGTH)
+            right = np.where(cols < (LENGTH - lo)[:, None], own[np.minimum(at[:, None] + cols, len(own) - 1)], PAD).astype(np.uint8)
+            cols = np.arange(REACH)
+            left = np.where(cols < hi[:, None], own[np.maximum(at[:, None] - 1 - cols, 0)], PAD).astype(np.uint8)
+            whole = range_hashes(own, at - hi, at + LENGTH - lo) ^ (lo * 256 + hi).astype(np.uint64)
+            _, once, inverse = np.unique(whole, return_index=True, return_inverse=True)
+            same = once[inverse]
+            if (right != right[same]).any() or (left != left[same]).any() or (lo != lo[same]).any() or (hi != hi[same]).any():
+                once = inverse = np.arange(len(at))  # two contexts with one hash: keep all apart
+            right, left, lo, hi, h = right[once], left[once], lo[once], hi[once], gram[once].view(np.int64)
+            words = right.view(">u8").astype(np.uint64)
+            order = np.lexsort([words[:, k] for k in range(words.shape[1] - 1, -1, -1)] + [h])
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            seen = rank[inverse]
+            by = np.argsort(seen, kind="stable")
+            times = np.bincount(seen, minlength=len(order))
+            right, left, lo, hi = right[order], left[order], lo[order], hi[order]
+            bounds = np.stack([lo, hi], 1).astype(np.uint8)
+            names = np.frombuffer(b"".join(hashlib.sha256(x.tobytes()).digest() for x in np.concatenate([bounds, right, left], 1)), np.uint8).reshape(-1, 32)
+            columns = [_binary(names), pa.array(np.full(len(order), part << 32 | made)), pa.array(np.arange(len(order))), pa.array(h[order]), pa.array(lo), pa.array(hi), _binary(right), _binary(left), pa.array(times), _ragged(keys[i:j][text[by]], times), _ragged(fields[by, 0].astype(np.int32), times)]
+            yield pa.RecordBatch.from_arrays(columns, NAMES)
+            made += 1
+
+
+NAMES = ["context", "shard", "rank", "h", "lo", "hi", "right", "left", "times", "keys", "places"]
+CONTEXTS = ", ".join(f"{c} {'binary' if c in ('context', 'right', 'left', 'keys', 'places') else 'long'}" for c in NAMES)
 
 
 def interleave(shard: np.ndarray, h: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Merged order of all shards' suffixes by (anchor, bytes), and each one's common prefix with the one before it.
 
-    Entries of a shard come in its own order. ``run`` numbers the places that
-    aren't told apart yet.
+    Entries come shard after shard, in order of (anchor, bytes) in each.
     """
-    n = len(h)
-    order = np.argsort(h, kind="stable")  # shards one after another inside an anchor's run
-    run = np.cumsum(np.concatenate([[True], h[order][1:] != h[order][:-1]])) - 1
-    common = np.where(np.concatenate([[True], run[1:] != run[:-1]]), 0, LENGTH)
-    words = right.reshape(n, -1).view(">u8").astype(np.uint64)
-    for k in range(words.shape[1]):
-        size = np.bincount(run)
-        live = np.flatnonzero(size[run] > 1)
-        if not len(live):
+    n, starts = len(h), np.concatenate([[True], shard[1:] != shard[:-1]])
+    union, run = np.unique(h, return_inverse=True)
+    common = np.zeros(len(union), np.int64)  # of each run with the one before
+    pairs = right.view(">u2").astype(np.int64)
+    for k in range(pairs.shape[1]):
+        if len(union) == n:
             break
-        r, s = run[live], shard[order[live]]
-        begun = np.concatenate([[True], r[1:] != r[:-1]])
-        first = np.flatnonzero(begun)
-        mixed = (np.minimum.reduceat(s, first) != np.maximum.reduceat(s, first))[np.cumsum(begun) - 1]
-        x = live[mixed]  # merge these; the others stand as their shard has them
-        if len(x):
-            order[x] = order[x][np.lexsort((words[order[x], k], run[x]))]
-        w = words[order[live], k]
-        differ = (w[1:] ^ w[:-1])[~begun[1:]]
-        place = live[1:][~begun[1:]]
-        split = differ != 0
-        zero = np.floor(np.log2(differ[split].astype(np.float64))).astype(np.int64)  # highest differing bit, or one above it
-        zero -= (differ[split] >> zero.clip(0, 63).astype(np.uint64) == 0) & (zero > 0)
-        common[place[split]] = 8 * k + (63 - zero.clip(0, 63)) // 8
-        new = np.zeros(n, np.int64)
-        new[place[split]] = 1
-        run = run + np.cumsum(new)
-    return order, common
+        key = run << 16 | pairs[:, k]
+        head = starts.copy()
+        head[1:] |= key[1:] != key[:-1]
+        union, new = np.unique(key[head], return_inverse=True)
+        run = new[np.cumsum(head) - 1]
+        old, differ = union >> 16, (union[1:] ^ union[:-1]) & 0xFFFF
+        split = np.concatenate([[False], old[1:] == old[:-1]])
+        common = np.where(split, 2 * k + np.concatenate([[0], differ < 256]), common[old])
+    first = np.bincount(run, minlength=len(common)).cumsum() - np.bincount(run, minlength=len(common))
+    order = np.argsort(run, kind="stable")  # a deal by rank: shards one after another in a run
+    out = np.full(n, LENGTH)
+    out[first] = common
+    return order, out
 
 
 def repeats(shard: np.ndarray, h: np.ndarray, lo: np.ndarray, hi: np.ndarray, right: np.ndarray, left: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,15 +245,22 @@ def repeats(shard: np.ndarray, h: np.ndarray, lo: np.ndarray, hi: np.ndarray, ri
 
 
 def _merge(group: pd.DataFrame) -> pd.DataFrame:
-    """(key, first, last) of the bytes that one block of anchors shows to be in repeated strings."""
-    cols = {c: [np.frombuffer(x, KINDS[c]) for x in group[c]] for c in NAMES[1:]}
-    sizes = np.array([len(x) for x in cols["hashes"]])
-    entry = np.concatenate([x + base for x, base in zip(cols["entry"], np.cumsum(sizes) - sizes)])
-    c = {k: np.concatenate(v) for k, v in cols.items() if k != "entry"}
-    least, most = repeats(np.repeat(np.arange(len(sizes)), sizes), c["hashes"], c["lo"], c["hi"], c["right"].reshape(-1, LENGTH), c["left"].reshape(-1, REACH), np.bincount(entry, minlength=len(c["hashes"])))
-    found = most[entry] >= 0
-    e, key, place = entry[found], c["keys"][found], c["places"][found].astype(np.int64)
-    return pd.DataFrame({"key": key, "first": place - most[e], "last": place - least[e] + LENGTH})
+    """(context, least, most) of the contexts that one block of anchors shows to have repeated strings."""
+    shard, rank, h, lo, hi, times = (group[c].to_numpy() for c in ("shard", "rank", "h", "lo", "hi", "times"))
+    order = np.lexsort((rank, h, shard))
+    right, left = (np.frombuffer(b"".join(group[c].iloc[order]), np.uint8).reshape(-1, w) for c, w in (("right", LENGTH), ("left", REACH)))
+    least, most = repeats(shard[order], h[order], lo[order], hi[order], right, left, times[order])
+    found = most >= 0
+    return pd.DataFrame({"context": group["context"].iloc[order[found]].to_numpy(), "least": least[found], "most": most[found]})
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, first, last) of every occurrence of contexts (least, most, keys, places)."""
+    for batch in batches:
+        least, most = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        (keys, at), (places, _) = flat(batch.column(2)), flat(batch.column(3))
+        keys, places, times = np.frombuffer(keys.tobytes(), np.int64), np.frombuffer(places.tobytes(), np.int32).astype(np.int64), np.diff(at) // 8
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(places - np.repeat(most, times)), pa.array(places - np.repeat(least, times) + LENGTH)], ["key", "first", "last"])
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,9 +291,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     bounded(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
-    rows = store(docs.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("sha")), "rows")
-    copies = store(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("rep")).where("n > 1").select("key", "rep"), "copies")
+    salt, clash = 0, True
+    while clash:  # until every text has a key of its own, which at once is all but certain
+        own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text, *([F.lit(salt)] if salt else [])).alias("key"))
+        rows = store(own.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("sha")), "rows")
+        copies = store(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("rep"), (F.min("sha") != F.max("sha")).alias("clash")).where("n > 1"), "copies")
+        clash = copies.where("clash").limit(1).count() > 0
+        salt += clash
+    docs, copies = own, copies.select("key", "rep")
     once = docs.where(F.octet_length("text") >= LENGTH).join(small(copies), "key", "left").where(F.col("rep").isNull() | F.col("rep").eqNullSafe(F.col("doc_id"))).select("key", "text")
 
     total, many = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count(F.lit(1))).first()
@@ -284,11 +307,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = counted.groupBy("block").applyInPandas(_repeated(ranges), "part long, keys binary, fields binary")
     anchored = store(found.groupBy("part").applyInPandas(_by_text, "key long, anchors binary"), "anchors")
 
-    contexts = anchored.agg(F.coalesce(F.sum(F.octet_length("anchors")), F.lit(0))).first()[0] // 12
-    blocks = max(8, -(-contexts // BLOCK_CONTEXTS))
     likely = once.join(small(anchored.select("key")), "key", "left_semi").join(anchored, "key").select("key", "text", "anchors")
-    sharded = likely.mapInArrow(_contexts(blocks), ", ".join(f"{c} {'long' if c == 'block' else 'binary'}" for c in NAMES))
-    spans = sharded.groupBy("block").applyInPandas(_merge, "key long, first long, last long")
+    contexts = store(likely.mapInArrow(_contexts, CONTEXTS), "contexts")
+    entry = F.min(F.struct("shard", "rank", "h", "lo", "hi", "right", "left")).alias("e")
+    distinct = store(contexts.groupBy("context").agg(entry, F.sum("times").alias("times")).select("context", "times", "e.*"), "distinct")
+    uses = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("uses"))
+    blocks = max(8, -(-distinct.count() // BLOCK_CONTEXTS))
+    hot = store(uses.where(F.col("uses") > HOT_CONTEXTS), "hot")
+    rest = distinct.join(small(hot), "h", "left").withColumn("w", F.explode(F.when(F.col("uses").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.floor(F.col("lo") / SPLIT).cast("int"), F.floor(F.col("hi") / SPLIT).cast("int")))))
+    begin = F.col("w") * SPLIT
+    shared = F.xxhash64("h", F.substring(F.col("right"), F.lit(1), LENGTH - SPLIT + 1 - begin), F.substring(F.col("left"), F.lit(1), begin), "w")
+    in_part = F.col("w") >= 0
+    rest = rest.select("context", "shard", "rank", F.when(in_part, shared).otherwise(F.col("h")).alias("h"), F.when(in_part, F.greatest("lo", begin)).otherwise(F.col("lo")).alias("lo"), F.when(in_part, F.least("hi", begin + SPLIT - 1)).otherwise(F.col("hi")).alias("hi"), "right", "left", "times")
+    found = rest.withColumn("block", F.pmod(F.col("h"), F.lit(blocks))).groupBy("block").applyInPandas(_merge, "context binary, least long, most long")
+    found = store(found.groupBy("context").agg(F.min("least").alias("least"), F.max("most").alias("most")), "found")
+    spans = contexts.select("context", "keys", "places").join(small(found), "context").select("least", "most", "keys", "places").mapInArrow(_spread, "key long, first long, last long")
     spans = store(spans.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
 
     cut = once.join(small(spans.select("key")), "key", "left_semi").join(spans, "key").select("key", "text", "spans")

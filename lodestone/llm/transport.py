@@ -200,36 +200,43 @@ def _mux(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(offsets[i : j + 1])), media.cast(pa.binary())], ["doc_id", "n_bytes", "media"])
 
 
-UNITS = "array<struct<pts: bigint, at: bigint, random_access: boolean>>"
-
-
-def _demux(units: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = flat(batch.column(2))
-            for i, j in pieces(offsets, CHUNK_BYTES):
-                media, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                s = Streams(media, at)
-                raw, stored = memoryview(np.ascontiguousarray(s.payload)), memoryview(np.ascontiguousarray(media))
-                first = np.searchsorted(s.unit_owner, np.arange(j - i + 1))
-                seen = np.concatenate([[0], np.cumsum(s.access)])
-                rows = []
-                for k in range(j - i):
-                    body, whole = raw[s.offsets[k] : s.offsets[k + 1]], stored[at[k] : at[k + 1]]
-                    a, b = first[k], first[k + 1]
-                    feature = f"pid={s.pid[k]};packets={s.packets[k]};units={b - a};access={seen[b] - seen[a]};breaks={s.breaks[k]};pts={s.pts[a]}-{s.pts[b - 1]}"
-                    rows.append((len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-32:]), len(whole), hashlib.sha256(whole).hexdigest(), feature))
-                columns = [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *[pa.array(x) for x in zip(*rows)]]
-                if units:
-                    each = pa.StructArray.from_arrays([pa.array(s.pts), pa.array(s.unit_at), pa.array(s.access)], ["pts", "at", "random_access"])
-                    columns += [pa.ListArray.from_arrays(pa.array(first, pa.int32()), each)]
-                yield pa.RecordBatch.from_arrays(columns, NAMES[: len(columns)])
-
-    return run
-
-
-NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "units"]
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+def _rows(media: np.ndarray, at: np.ndarray) -> list[tuple]:
+    """Per stream: its payload's and its own digests, program and counts, and timestamp, place and kind of each elementary packet."""
+    s = Streams(media, at)
+    raw, stored = memoryview(np.ascontiguousarray(s.payload)), memoryview(np.ascontiguousarray(media))
+    first = np.searchsorted(s.unit_owner, np.arange(len(at)))
+    rows = []
+    for k in range(len(at) - 1):
+        body, whole, own = raw[s.offsets[k] : s.offsets[k + 1]], stored[at[k] : at[k + 1]], slice(first[k], first[k + 1])
+        rows.append((len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-32:]), len(whole), hashlib.sha256(whole).hexdigest(), int(s.pid[k]), int(s.packets[k]), int(s.breaks[k]), s.pts[own], s.unit_at[own], s.access[own], None))
+    return rows
+
+
+def _taken_apart(media: np.ndarray, at: np.ndarray) -> list[tuple]:
+    """As :func:`_rows`, where a damaged stream costs its own row only."""
+    try:
+        return _rows(media, at)
+    except (ValueError, IndexError, struct.error) as e:
+        if len(at) > 2:
+            return [row for k in range(len(at) - 1) for row in _taken_apart(media[at[k] : at[k + 1]], np.array([0, at[k + 1] - at[k]]))]
+        none = np.zeros(0, np.int64)
+        return [(None, None, None, len(media), hashlib.sha256(media.tobytes()).hexdigest(), None, None, None, none, none, none.astype(bool), str(e) or type(e).__name__)]
+
+
+def _demux(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets = flat(batch.column(2))
+        for i, j in pieces(offsets, CHUNK_BYTES):
+            *plain, pts, places, access, damage = zip(*_taken_apart(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
+            many = np.concatenate([[0], np.cumsum([len(x) for x in pts])])
+            each = pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in (pts, places, access)], ["pts", "at", "random_access"])
+            columns = [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *map(pa.array, plain), pa.array(damage, pa.string()), pa.ListArray.from_arrays(pa.array(many, pa.int32()), each)]
+            yield pa.RecordBatch.from_arrays([c.cast(pa.int64()) if pa.types.is_null(c.type) and n not in TEXTS else c.cast(pa.string()) if pa.types.is_null(c.type) else c for n, c in zip(NAMES, columns)], NAMES)
+
+
+NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "pid", "packets", "breaks", "damage", "units"]
+TEXTS = ("payload_sha256", "media_sha256", "damage")
+SCHEMA = ", ".join(f"{n} {'string' if n in TEXTS else 'array<struct<pts: bigint, at: bigint, random_access: boolean>>' if n == 'units' else 'long'}" for n in NAMES)
 
 
 def write_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,7 +250,23 @@ def write_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return store(docs.mapInArrow(_mux, "doc_id long, n_bytes long, media binary"), "media")
 
 
-def features(media: DataFrame, units: bool = False) -> DataFrame:
-    """Digest of every stored stream; with ``units`` also each elementary packet's timestamp, place and whether it is a random-access point."""
-    schema = SCHEMA + (f", units {UNITS}" if units else "")
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_demux(units), schema)
+def write_units(media: DataFrame) -> DataFrame:
+    """Take every stored stream apart and store what was found, with each elementary packet's timestamp, place and whether it is a random-access point; read again.
+
+    A stream that is no whole sequence of packets, or has damaged tables or
+    packets, has no payload and no units, and ``damage`` says why.
+    """
+    bounded(media.sparkSession)
+    return store(media.select("doc_id", "n_bytes", "media").mapInArrow(_demux, SCHEMA), "units")
+
+
+def features(units: DataFrame) -> DataFrame:
+    """Digest of every stream, its feature from the stored timestamps and random-access points; ``units`` comes last."""
+    n = F.size("units")
+    feature = F.concat_ws(
+        ";",
+        *[F.concat(F.lit(f"{k}="), v.cast("string")) for k, v in (("pid", F.col("pid")), ("packets", F.col("packets")), ("units", n), ("access", F.size(F.filter("units", lambda u: u["random_access"]))), ("breaks", F.col("breaks")))],
+        F.concat(F.lit("pts="), F.get("units", F.lit(0))["pts"].cast("string"), F.lit("-"), F.get("units", n - 1)["pts"].cast("string")),
+    )
+    damaged = F.concat(F.lit("damaged: "), "damage")
+    return units.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.coalesce(damaged, feature).alias("feature"), "units")

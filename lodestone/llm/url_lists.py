@@ -4,8 +4,9 @@ Dated list entries (added, removed) become validity intervals. A capture is
 looked up under all names that cover it, its host's suffixes and the prefixes
 of its path, and an as-of join finds the entries that were valid when it was
 fetched. Intervals and captures meet on name and period, so a name with many
-entries or captures is spread over its periods, and Spark can split what is
-left of a hot name; nothing is sorted by name in one task.
+entries or captures is spread over its periods; names without a dot, which may
+cover a large part of all captures, are dealt into further parts. Nothing is
+sorted by name in one task.
 """
 
 from __future__ import annotations
@@ -14,11 +15,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .common import let
+
 #: Days of one period of the as-of join.
 PERIOD = 32
 FOREVER = "DATE'9999-12-31'"
-HOST = "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
-PATH = "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
+#: Parts into which captures under a name without a dot, such as a top-level domain, are dealt.
+DEALT = 64
+#: With or without a scheme; user information up to the last @; a bracketed address or a name.
+HOST = "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?(\\[[^\\]/?#]*\\]|[^/?#:@\\[\\]]+)"
+PATH = "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)"
 
 
 def host(url: Column) -> Column:
@@ -27,10 +33,14 @@ def host(url: Column) -> Column:
 
 def names(url: Column) -> Column:
     """All list names that cover a URL: suffixes of its host by label, and its host with prefixes of its path by segment."""
-    labels, parts = F.split(host(url), "\\."), F.array_remove(F.split(F.regexp_extract(url, PATH, 1), "/"), "")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(host(url), F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))).otherwise(F.array().cast("array<string>"))
-    return F.when(host(url) != "", F.concat(suffixes, prefixes)).otherwise(F.array().cast("array<string>"))
+
+    def of(h: Column) -> Column:
+        labels, parts = F.split(h, "\\."), F.array_remove(F.split(F.regexp_extract(url, PATH, 1), "/"), "")
+        suffixes = let(labels, lambda x: F.when(h.startswith("["), F.array(h)).otherwise(F.transform(F.sequence(F.lit(1), F.size(x)), lambda i: F.array_join(F.slice(x, i, F.size(x)), "."))))
+        prefixes = let(parts, lambda x: F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(1), F.size(x)), lambda i: F.concat(h, F.lit("/"), F.array_join(F.slice(x, 1, i), "/")))).otherwise(F.array().cast("array<string>")))
+        return F.when(h != "", F.concat(suffixes, prefixes)).otherwise(F.array().cast("array<string>"))
+
+    return let(host(url), of)
 
 
 def intervals(events: DataFrame) -> DataFrame:
@@ -49,7 +59,8 @@ def evaluate(captures: DataFrame, events: DataFrame, id_col: str = "page_id", ur
 
     The longest active entry decides, and of equals ``allow`` comes before any
     other list; a capture under no active entry, with a null or unreadable URL
-    or without a day is kept. Repeated captures are looked up once. Empty lists
+    or without a day is kept. URLs may lack a scheme (``//host/``), and the host
+    may be a bracketed address. Repeated captures are looked up once. Empty lists
     keep all. Other columns are ignored.
     """
     rows = captures.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(day_col).cast("date").alias("fetched"))
@@ -59,7 +70,10 @@ def evaluate(captures: DataFrame, events: DataFrame, id_col: str = "page_id", ur
     valid = valid.withColumn("period", F.explode(F.sequence(period(F.greatest("valid_from", "lo")), period(F.least("valid_to", "hi"))))).select("entry", "period", "list", "valid_from", "valid_to")
     looked = rows.select("url", "fetched").where("url is not null and fetched is not null").distinct()
     looked = looked.withColumn("entry", F.explode(F.array_distinct(names(F.col("url"))))).withColumn("period", period(F.col("fetched")))
-    active = looked.join(valid, ["entry", "period"]).where((F.col("valid_from") <= F.col("fetched")) & (F.col("fetched") < F.col("valid_to")))
+    dot = F.instr("entry", ".") > 0  # a name without one may cover a large part of all captures
+    looked = looked.withColumn("deal", F.when(dot, F.lit(0)).otherwise(F.pmod(F.xxhash64("url", "fetched"), F.lit(DEALT)).cast("int")))
+    valid = valid.withColumn("deal", F.explode(F.when(dot, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(DEALT - 1)))))
+    active = looked.join(valid, ["entry", "period", "deal"]).where((F.col("valid_from") <= F.col("fetched")) & (F.col("fetched") < F.col("valid_to")))
     order = F.struct(F.length("entry").alias("n"), (F.col("list") == "allow").alias("allow"), "entry", "list", "valid_from")
     best = active.groupBy(F.col("url").alias("u"), F.col("fetched").alias("f")).agg(F.count(F.lit(1)).alias("n_active"), F.max(order).alias("best"))
     out = rows.join(best, (F.col("url") == F.col("u")) & (F.col("fetched") == F.col("f")), "left")
@@ -76,7 +90,7 @@ def sample_events(pages: DataFrame) -> DataFrame:
     h = host(F.col("url"))
     labels = F.split(h, "\\.")
     domain = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 2, F.lit(1)), 3), ".")
-    first = F.concat(h, F.lit("/"), F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)", 1))
+    first = F.concat(h, F.lit("/"), F.regexp_extract("url", "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*/([^/?#]+)", 1))
     entry = pages.where(h != "").select(F.explode(F.array(h, domain, first)).alias("entry")).where(~F.col("entry").endswith("/")).distinct()
     digit = lambda i, n: F.conv(F.substring(F.md5("entry"), i, n), 16, 10).cast("int")
     entry = entry.where(digit(1, 1) < 12).withColumn("list", F.when(digit(2, 1) < 5, F.lit("allow")).otherwise(F.lit("block")))
@@ -87,9 +101,9 @@ def sample_events(pages: DataFrame) -> DataFrame:
 
 
 SQL = r"""
-WITH c AS (SELECT page_id, url, DATE '2024-01-01' + (page_id % 366)::INT AS fetched, rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '.') AS h,
-    list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM pages),
-e AS (SELECT DISTINCT entry FROM (SELECT unnest([h, array_to_string(string_split(h, '.')[greatest(len(string_split(h, '.')) - 2, 1):], '.'), h || '/' || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1)]) AS entry FROM c WHERE h <> '') WHERE NOT ends_with(entry, '/')),
+WITH c AS (SELECT page_id, url, DATE '2024-01-01' + (page_id % 366)::INT AS fetched, rtrim(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:@\[\]]+)', 1)), '.') AS h,
+    list_filter(string_split(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM pages),
+e AS (SELECT DISTINCT entry FROM (SELECT unnest([h, array_to_string(string_split(h, '.')[greatest(len(string_split(h, '.')) - 2, 1):], '.'), h || '/' || regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*/([^/?#]+)', 1)]) AS entry FROM c WHERE h <> '') WHERE NOT ends_with(entry, '/')),
 d AS (SELECT entry, md5(entry) AS m FROM e WHERE ('0x' || substr(md5(entry), 1, 1))::INT < 12),
 b AS (SELECT entry, CASE WHEN ('0x' || substr(m, 2, 1))::INT < 5 THEN 'allow' ELSE 'block' END AS list, DATE '2023-11-01' + ('0x' || substr(m, 3, 4))::INT % 400 AS begin, m FROM d),
 ev AS (SELECT list, entry, 'add' AS action, begin AS day FROM b UNION ALL SELECT list, entry, 'remove', begin + 10 + ('0x' || substr(m, 10, 3))::INT % 90 FROM b UNION ALL SELECT list, entry, 'add', begin + 40 + ('0x' || substr(m, 7, 3))::INT % 150 FROM b),

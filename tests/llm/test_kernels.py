@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -62,6 +63,16 @@ def test_encoder_agrees_on_any_text(texts):
         assert ids[a:b].tolist() == e.library.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_takes_no_hash_for_a_proof(monkeypatch):
+    e = token_files.Encoder(vocabulary())
+    monkeypatch.setattr(token_files, "range_hashes", lambda data, a, b: np.full(len(a), 7, np.uint64))
+    ids, counts = e.encode(*joined(TEXTS))
+    ends = np.cumsum(counts)
+    for t, a, b in zip(TEXTS, ends - counts, ends):
+        assert ids[a:b].tolist() == e.library.encode(t, add_special_tokens=False).ids, t
+    assert e.by_rules and not token_files.cut_by_rules(vocabulary("byte_bpe_50k.json"))
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 3), max_size=60), min_size=1, max_size=5))
 def test_shard_round_trip(docs):
@@ -72,7 +83,16 @@ def test_shard_round_trip(docs):
     s = token_files.Shard(token_files.Shard.pack(np.arange(n), np.zeros(n, bool), ids.copy(), counts))
     assert s.decode(s.seq).tolist() == ids.tolist()
     for k, d in enumerate(docs):
-        assert s.ids(k).tolist() == d and s.ids(k, 1, 4).tolist() == d[1:4]
+        assert s.ids(k).tolist() == d and s.ids(k, 1, 4).tolist() == d[1:4] and s.ids(k, 3).tolist() == d[3:] and s.ids(k, -2).tolist() == d[-2:]
+    pairs = Counter()
+    for k in range(n):  # of three alike in a row only one pair can be replaced
+        own, was = s.seq[s.at[k] : s.at[k + 1]].tolist(), None
+        for x in zip(own, own[1:]):
+            was = None if x == was else x
+            pairs[x] += was is not None
+    assert not pairs or max(pairs.values()) < 2
+    with pytest.raises(ValueError):
+        token_files.Shard(token_files.Shard.pack(np.arange(n), np.zeros(n, bool), ids, counts)[:-1])
 
 
 def test_repair_makes_rules_and_shrinks():
@@ -167,3 +187,20 @@ def test_chunks_cover_every_byte():
             for w in begin[a:b]:
                 covered[w : w + quality.WINDOW] = True
         assert covered[:n].all() and hashlib.sha256(data[:n].tobytes()).hexdigest() == hashlib.sha256(np.arange(n).astype(np.uint8).tobytes()).hexdigest()
+
+
+def test_scores_match_a_plain_convolution(monkeypatch):
+    rng = np.random.default_rng(3)
+    q = quality
+    model = q.Model(*(x.astype(np.float32) for x in (rng.normal(0, 1, (256, q.WIDTH)), rng.normal(0, 1, (q.WINDOW * q.WIDTH, q.FILTERS)), rng.normal(0, 1, q.FILTERS), rng.normal(0, 0.2, 2 * q.FILTERS + 1))))
+    texts = [b"", b"short", rng.bytes(396), rng.bytes(397), rng.bytes(2500)]
+    monkeypatch.setattr(q, "CHUNKS", 3)
+    got = q.score(model, np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    for text, s in zip(texts, got):
+        n = max(1, -(-(len(text) - q.WINDOW) // q.STEP) + 1)
+        raw = text.ljust((n - 1) * q.STEP + q.WINDOW, b"\0")
+        windows = [sum(model.embed[raw[w * q.STEP + k]] @ model.filters[k * q.WIDTH : (k + 1) * q.WIDTH] for k in range(q.WINDOW)) for w in range(n)]
+        starts = range(0, max(1, -(-(n - q.CHUNK) // q.HOP) + 1) * q.HOP, q.HOP)
+        pooled = [np.maximum(np.max(windows[a : a + q.CHUNK], 0) + model.bias, 0) for a in starts]
+        z = np.concatenate([np.mean(pooled, 0), np.max(pooled, 0), [1]]) @ model.out
+        assert abs(s - 1 / (1 + np.exp(-z))) < 1e-4
