@@ -130,7 +130,7 @@ _powers: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE and its inverse to the powers 0..n-1, modulo 2**64."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         size += size // 4
         _powers[:] = []
         for b in (BASE, UNBASE):

@@ -23,6 +23,7 @@ rules than these, goes to the library text by text.
 from __future__ import annotations
 
 import json
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -36,11 +37,11 @@ from pyspark.sql.window import Window as W
 from .common import bounded, flat, pieces, range_hashes, small, store
 
 SHARD_IDS = 1 << 18
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
 #: Text bytes of a partition, about; the session's number of shuffle partitions is the least.
 PARTITION_BYTES = 256 << 20
 #: Distinct pieces that a Python worker remembers; beyond, it starts anew.
-PIECES = 500_000
+PIECES = 300_000
 #: How a tokenizer file must normalize and split for texts to be cut by the rules below.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -79,6 +80,7 @@ class Encoder:
     """Bytes of texts to ids, each distinct piece through the library once."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
