@@ -103,6 +103,39 @@ def _matches(column: str) -> Callable[[str], Column]:
     return lambda a: F.col(column).rlike(wildcard(a))
 
 
+def _listed(key: str) -> Column:
+    """The entries of a list among a node's attributes, which are separated by semicolons."""
+    return F.array_remove(F.split(F.coalesce(F.element_at("attrs", key), F.lit("")), ";"), "")
+
+
+def _any(key: str) -> Callable[[str], Column]:
+    return lambda a: F.exists(_listed(key), lambda x: x.rlike(wildcard(a)))
+
+
+def _modifier(word: str) -> Callable[[], Column]:
+    return lambda: F.array_contains(F.split(F.coalesce(F.element_at("attrs", "modifiers"), F.lit("")), " +"), word)
+
+
+def _parameter(argument: str) -> Column:
+    """A parameter of this name or, after a comma, of this type; parameters are written ``type name`` with modifiers before."""
+    name, *kind = [x.strip().strip("\"'") for x in argument.split(",")]
+
+    def one(p: Column) -> Column:
+        parts = F.split(p, " ")
+        out = F.element_at(parts, -1).rlike(wildcard(name))
+        return out | F.try_element_at(parts, F.lit(-2)).rlike(wildcard(kind[0])) if kind else out
+
+    return F.exists(_listed("parameters"), lambda p: F.coalesce(one(p), F.lit(False)))
+
+
+def _attribute(argument: str) -> Column:
+    low = argument.lower()
+    return F.exists(_listed("attributes"), lambda a: F.lower(a).isin(low, low + "attribute"))
+
+
+# Attributes that mark a test.
+TESTS = ["test", "testmethod", "fact", "theory", "testcase"]
+
 #: Conditions without and with an argument.
 PLAIN: dict[str, Callable[[], Column]] = {
     "isInLoop": lambda: _inside("For") | _inside("While") | _inside("Foreach"),
@@ -117,14 +150,23 @@ PLAIN: dict[str, Callable[[], Column]] = {
     "isInAsyncMethod": lambda: F.element_at("attrs", "async") == "true",
     "isInConstructor": lambda: F.col("method") == F.col("class"),
     "isInTestMethod": lambda: F.lower("path").contains("test"),
-    "isPublic": lambda: F.element_at("attrs", "accessibility") == "public",
-    "isPrivate": lambda: F.element_at("attrs", "accessibility") == "private",
-    "isStatic": lambda: F.element_at("attrs", "static") == "true",
-    "isAsync": lambda: F.element_at("attrs", "async") == "true",
     "isAwaited": lambda: F.element_at("attrs", "awaited") == "true",
     "hasParameters": lambda: F.col("params") > 0,
     "hasNoParameters": lambda: F.col("params") == 0,
     "hasArguments": lambda: F.size("args") > 0,
+    **{f"is{m.capitalize()}": _modifier(m) for m in ("public", "private", "protected", "internal", "static", "async", "virtual", "override", "abstract")},
+    "inTryCatch": lambda: _inside("Try"),
+    "inLoop": lambda: F.arrays_overlap("in_kinds", F.array(*map(F.lit, ("For", "Foreach", "While", "Do")))),
+    "inConditional": lambda: F.arrays_overlap("in_kinds", F.array(*map(F.lit, ("If", "Switch", "Conditional")))),
+    "isTestMethod": lambda: F.exists(_listed("attributes"), lambda a: F.lower(a).isin(*TESTS)),
+    "isConstructor": lambda: F.col("kind") == "Constructor",
+    "isProperty": lambda: F.col("kind") == "Property",
+    "isField": lambda: F.col("kind") == "Field",
+    "hasDocComment": lambda: F.element_at("attrs", "doc") == "true",
+    "isGeneric": lambda: F.size(_listed("type_parameters")) > 0,
+    "isExtensionMethod": lambda: F.startswith(F.coalesce(F.get(_listed("parameters"), F.lit(0)), F.lit("")), F.lit("this ")),
+    "isDisposable": lambda: F.arrays_overlap(_listed("interfaces"), F.array(F.lit("IDisposable"), F.lit("IAsyncDisposable"))),
+    "modifiesState": lambda: F.size(_listed("writes")) > 0,
 }
 WITH_ARGUMENT: dict[str, Callable[[str], Column | None]] = {
     "isInClass": _matches("class"),
@@ -133,7 +175,16 @@ WITH_ARGUMENT: dict[str, Callable[[str], Column | None]] = {
     "isInFile": _matches("path"),
     "returns": _matches("returns"),
     "nameMatches": _matches("name"),
-    "hasAttribute": lambda a: F.element_at("attrs", "attribute").rlike(wildcard(a)),
+    "hasAttribute": _attribute,
+    "inNamespace": _matches("namespace"),
+    "inheritsFrom": _any("bases"),
+    "implements": _any("interfaces"),
+    "hasParameter": _parameter,
+    "returnType": _matches("returns"),
+    "containsCall": _any("calls"),
+    "usesType": _any("types"),
+    "hasTypeParameter": _any("type_parameters"),
+    "accessesField": _any("fields"),
     "contains": lambda a: F.contains("text", F.lit(a)),
     "startsWith": lambda a: F.startswith("text", F.lit(a)),
     "endsWith": lambda a: F.endswith("text", F.lit(a)),
@@ -141,25 +192,39 @@ WITH_ARGUMENT: dict[str, Callable[[str], Column | None]] = {
     "parameterCount": lambda a: comparison(F.col("params"), a),
     "argumentCount": lambda a: comparison(F.size("args"), a),
     "nestingDepth": lambda a: comparison(F.col("depth"), a),
-    "lineCount": lambda a: comparison(F.size(F.split("text", "\n")), a),
+    "lineCount": lambda a: comparison(F.element_at("attrs", "lines").cast("int"), a),
     "complexity": lambda a: comparison(F.element_at("attrs", "complexity").cast("int"), a),
 }
 
 
 def condition(text: str) -> tuple[Column | None, bool]:
-    """The condition and whether it is known. ``not`` negates only before an argument list; ``notX`` without one and unknown names are dropped."""
+    """The condition and whether it is known. ``not`` negates only before an argument list; ``notX`` without one and unknown names are dropped.
+
+    A function that needs an argument and has none never holds; what a node
+    lacks (a null flag or list) doesn't hold either, and its negation does.
+    """
     text = text.strip()
+    name, argument, negated = text, "", False
     if "(" in text and text.endswith(")"):
-        name, argument = text[: text.index("(")].strip(), text[text.index("(") + 1 : -1].strip().strip("\"'")
-        negated = name.startswith("not") and name[3:4].isupper()
-        if negated:
-            name = name[3].lower() + name[4:]
-        made = WITH_ARGUMENT[name](argument) if name in WITH_ARGUMENT else PLAIN[name]() if name in PLAIN else None
-        known = name in WITH_ARGUMENT or name in PLAIN
-        if known and made is None:
-            return F.lit(False), True  # a comparison that can't be read never holds
-        return (~made if negated else made) if known else None, known
-    return (PLAIN[text](), True) if text in PLAIN else (None, False)
+        name, argument = text[: text.index("(")].strip(), text[text.index("(") + 1 : -1].strip()
+        negated = name not in PLAIN and name not in WITH_ARGUMENT and name[:3].lower() == "not"
+        name = next((n for n in [*PLAIN, *WITH_ARGUMENT] if n.lower() == name[3:].lower()), name) if negated else name
+    if name in PLAIN:
+        made = PLAIN[name]()
+    elif name in WITH_ARGUMENT:
+        argument = argument if name == "hasParameter" else argument.strip("\"'")
+        made = WITH_ARGUMENT[name](argument) if argument else None
+        if made is None:  # a comparison that can't be read never holds
+            return F.lit(False), True
+    else:
+        return None, False
+    made = F.coalesce(made, F.lit(False))
+    return (~made if negated else made), True
+
+
+def unknown_conditions(rules: list[Rule]) -> list[tuple[str, str]]:
+    """(rule, condition) of all conditions that are dropped, for reports: such a rule fires as if it didn't have them."""
+    return [(r.name, c) for r in rules for c in r.conditions if not condition(c)[1]]
 
 
 def compiled(rule: Rule) -> tuple[Column, list[str]]:
