@@ -5,45 +5,62 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Detectors of one line of text each: (identifier, category, severity, pattern). Patterns keep to what RE2 knows, too.
+# Patterns of hardcoded configuration values: (identifier, category, severity, pattern, lower-case words of which one must be there).
+VALUES = [
+    ("ConnectionString", "Configuration", "Critical", r"(?i)Server\s*=|Data Source\s*=|Initial Catalog\s*=|Database\s*=|Integrated Security\s*=|User Id\s*=|Password\s*=", ["="]),
+    ("WindowsPath", "Configuration", "Medium", r"[A-Za-z]:\\", [":\\"]),
+    ("UnixPath", "Configuration", "Medium", r"(?i)^/[a-z]+/", ["/"]),
+    ("HardcodedIp", "Configuration", "Medium", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", ["."]),
+    ("HardcodedPort", "Configuration", "Low", r":\d{4,5}\b", [":"]),
+    ("Credential", "Security", "Critical", r"""(?i)(password|pwd|passwd|secret|apikey|api_key|token|auth|credential)\s*(=|:)\s*["'][^"']+["']""", ["password", "pwd", "passwd", "secret", "apikey", "api_key", "token", "auth", "credential"]),
+    ("UserName", "Security", "High", r"""(?i)(username|user|userid|user_id|login)\s*(=|:)\s*["'][^"']+["']""", ["user", "login"]),
+]
+# Further detectors of one text each, in the same form. Patterns keep to what RE2 knows, too.
 TEXT = [
-    ("HardcodedUrl", "Configuration", "Medium", r"https?://[A-Za-z0-9.-]+"),
-    ("HardcodedIp", "Configuration", "Medium", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"),
-    ("ConnectionString", "Configuration", "Critical", r"(?i)(data source|initial catalog|server)\s*="),
-    ("WindowsPath", "Configuration", "Medium", r"[A-Za-z]:\\\\?[A-Za-z0-9_]+"),
-    ("UnixPath", "Configuration", "Medium", r"(^|\s)/(usr|etc|var|home|opt|tmp)/"),
-    ("Credential", "Security", "Critical", r"(?i)(password|passwd|pwd|secret|token|api_?key)\s*[=:]\s*\S+"),
-    ("UserName", "Security", "High", r"(?i)(user_?name|user|login)\s*=\s*\S+"),
-    ("AwsKey", "Security", "Critical", r"AKIA[0-9A-Z]{16}"),
-    ("PrivateKey", "Security", "Critical", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    ("Jwt", "Security", "High", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
-    ("BearerToken", "Security", "High", r"Bearer\s+[A-Za-z0-9._-]+"),
-    ("SqlConcatenation", "Security", "High", r"(?i)(select|insert|update|delete)\s.+\+\s*[A-Za-z_]+"),
-    ("WeakHash", "Security", "Medium", r"\b(MD5|SHA1)\b"),
-    ("EmailAddress", "Logging", "Medium", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-    ("CardNumber", "Logging", "High", r"\b[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}\b"),
-    ("SocialNumber", "Logging", "High", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
-    ("PhoneNumber", "Logging", "Low", r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}"),
-    ("ConsoleWrite", "Logging", "Low", r"Console\.Write(Line)?\("),
-    ("TodoComment", "Documentation", "Low", r"(?i)\b(todo|fixme|hack|xxx)\b"),
-    ("LicenseLine", "Documentation", "Info", r"(?i)licensed? under|general public license|apache license"),
-    ("EmptyCatch", "Exceptions", "High", r"catch\s*(\([^)]*\))?\s*\{\s*\}"),
-    ("AsyncVoid", "Concurrency", "High", r"async\s+void\s"),
-    ("BlockingWait", "Concurrency", "High", r"\.(Result|Wait\(\))"),
-    ("ThreadSleep", "Concurrency", "Medium", r"Thread\.Sleep\("),
-    ("LockOnThis", "Concurrency", "High", r"lock\s*\(\s*(this|typeof)"),
-    ("GotoStatement", "Style", "Low", r"\bgoto\s+[A-Za-z_]+;"),
-    ("ShoutedText", "Style", "Info", r"[A-Z]{4,}!!"),
-    ("RepeatedMarks", "Style", "Info", r"(&&&|%%%|\$\$\$|###|\*\*\*)"),
-    ("TableRow", "Style", "Info", r"[a-z]+ \| [a-z]+ \| "),
-    ("Markup", "Style", "Info", r"<[a-z]+[^>]*>"),
+    *VALUES,
+    ("HardcodedUrl", "Configuration", "Medium", r"(?i)\b(https?|ftp)://\w", ["://"]),
+    ("AwsKey", "Security", "Critical", r"\bA[KS]IA[A-Z0-9]{16}\b", ["akia", "asia"]),
+    ("PrivateKey", "Security", "Critical", r"-----BEGIN [A-Z ]*PRIVATE KEY", ["private key"]),
+    ("SignedToken", "Security", "High", r"\beyJ\w{5,}[.]\w+", ["eyj"]),
+    ("LongHexSecret", "Security", "Low", r"\b[0-9a-f]{40,64}\b", None),
+    ("SqlConcatenation", "Security", "High", r"""(?i)\b(select|insert|update|delete)\b[^;\n]*["'] *\+ *\w""", ["select", "insert", "update", "delete"]),
+    ("WeakHash", "Security", "Medium", r"\b(MD5|SHA1)\b", ["md5", "sha1"]),
+    ("MailAddress", "Logging", "Medium", r"\w@\w[\w-]*[.]\w", ["@"]),
+    ("CardNumber", "Logging", "High", r"\b\d{4} \d{4} \d{4} \d{4}\b|\b\d{16}\b", None),
+    ("SocialNumber", "Logging", "High", r"\b\d\d\d-\d\d-\d{4}\b", ["-"]),
+    ("PhoneNumber", "Logging", "Low", r"\(\d{3}\) ?\d{3}-\d{4}", ["("]),
+    ("ConsoleWrite", "Logging", "Low", r"\bConsole[.]Write", ["console.write"]),
+    ("TodoComment", "Documentation", "Low", r"(?i)\b(todo|fixme|hack|xxx)\b", ["todo", "fixme", "hack", "xxx"]),
+    ("LicenseLine", "Documentation", "Info", r"(?i)\blicen[sc]ed? under\b|\b(general public|apache|mit) licen[sc]e\b", ["licen"]),
+    ("EmptyCatch", "Exceptions", "High", r"\bcatch\b[^{}]*\{\s*\}", ["catch"]),
+    ("AsyncVoid", "Concurrency", "High", r"\basync\s+void\b", ["async"]),
+    ("BlockingWait", "Concurrency", "High", r"[.]Result\b|[.]Wait\(", [".result", ".wait("]),
+    ("ThreadSleep", "Concurrency", "Medium", r"\bThread[.]Sleep\b", ["thread.sleep"]),
+    ("LockOnThis", "Concurrency", "High", r"\block *\( *(this|typeof)\b", ["lock"]),
+    ("GotoStatement", "Style", "Low", r"\bgoto +\w+;", ["goto"]),
+    ("ShoutedText", "Style", "Info", r"[A-Z]{4,}!!", ["!!"]),
+    ("RepeatedMarks", "Style", "Info", r"&&&|%%%|\$\$\$|###|\*\*\*", ["&&&", "%%%", "$$$", "###", "***"]),
+    ("TableRow", "Style", "Info", r"\w \| \w+ \| ", [" | "]),
+    ("Markup", "Style", "Info", r"</?[a-z]+[ >]", ["<"]),
 ]
 
 
 def in_text(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, detector, category, severity) of each detector that fires on a text, all of them in one scan."""
-    hits = [F.when(F.col(text).rlike(p), F.struct(F.lit(d).alias("detector"), F.lit(c).alias("category"), F.lit(s).alias("severity"))) for d, c, s, p in TEXT]
-    return rows.select(key, F.explode(F.array_compact(F.array(*hits))).alias("d")).select(key, "d.*")
+    """(key, detector, category, severity) of each detector that fires on a text, all of them in one scan.
+
+    A text is searched with an expression only if it has one of its words, for
+    which it is brought to lower case once. Null and empty texts fire none.
+    """
+    low = rows.select(key, F.col(text).alias("_text"), F.lower(F.col(text)).alias("_low"))
+    hits = []
+    for d, c, s, p, needs in TEXT:
+        fires = F.col("_text").rlike(p)
+        for_any = None
+        for word in needs or []:
+            one = F.contains("_low", F.lit(word))
+            for_any = one if for_any is None else for_any | one
+        hits.append(F.when(fires if for_any is None else for_any & fires, F.struct(F.lit(d).alias("detector"), F.lit(c).alias("category"), F.lit(s).alias("severity"))))
+    return low.select(key, F.explode(F.array_compact(F.array(*hits))).alias("d")).select(key, "d.*")
 
 
 def method_smells(methods: DataFrame) -> DataFrame:

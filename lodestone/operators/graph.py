@@ -46,12 +46,16 @@ def reach(edges: DataFrame, seeds: DataFrame, most: int = 1 << 30) -> DataFrame:
 
 
 def depths(edges: DataFrame) -> DataFrame:
-    """(node, depth) from the entry points (nodes without incoming edges); 2147483647 where none reaches."""
-    n = nodes(edges)
-    e = simple(edges)
-    entries = n.join(e.select(F.col("target").alias("node")), "node", "left_anti").select(F.lit(0).alias("zero"), F.col("node").alias("root"))
-    found = reach(e, entries.select("root")).groupBy("node").agg(F.min("depth").alias("depth"))
-    return n.join(found, "node", "left").select("node", F.coalesce("depth", F.lit(2147483647)).alias("depth"))
+    """(node, depth) from the entry points (nodes without incoming edges), all at once; 2147483647 where none reaches."""
+    n, e = cut(nodes(edges)), cut(simple(edges))
+    front = cut(n.join(e.select(F.col("target").alias("node")), "node", "left_anti").withColumn("depth", F.lit(0)))
+    seen, depth = front, 0
+    while front.limit(1).count():
+        depth += 1
+        step = front.join(e, F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct()
+        front = cut(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        seen = cut(seen.unionByName(front))
+    return n.join(seen, "node", "left").select("node", F.coalesce("depth", F.lit(2147483647)).alias("depth"))
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -82,7 +86,7 @@ def paths(edges: DataFrame, source: str, target: str, most: int = 10) -> DataFra
     return out
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, most: int = 50) -> DataFrame:
+def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
     """One row with a shortest path (of equals the least), or none.
 
     Keeps one path for each node: breadth first, not all paths.
@@ -90,7 +94,7 @@ def shortest_path(edges: DataFrame, source: str, target: str, most: int = 50) ->
     e = cut(simple(edges))
     seen = edges.sparkSession.createDataFrame([(source, [source])], "node string, path array<string>")
     front = seen
-    for _ in range(most):
+    while True:
         step = front.join(e, F.col("node") == F.col("source")).groupBy("target").agg(F.min(F.array_append("path", F.col("target"))).alias("path")).select(F.col("target").alias("node"), "path")
         front = cut(step.join(seen, "node", "left_anti"))
         seen = cut(seen.unionByName(front))

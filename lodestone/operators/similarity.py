@@ -20,7 +20,6 @@ from ..functions import text as X
 from . import graph as G
 
 FUNCTIONS, BANDS = 100, 20
-TRIVIAL_LENGTH, LEAST_TOKENS = 20, 50
 #: Of a tile of sets that are compared at a time: shingles, and what a set counts besides its own.
 TILE, EACH = 50_000, 100
 

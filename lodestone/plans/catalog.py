@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Registers the queries of all modules of this folder."""
-    from . import q_detectors, q_graph, q_history, q_issues, q_more, q_names, q_relations, q_text  # noqa: F401
+    from . import q_detectors, q_graph, q_history, q_issues, q_measures, q_more, q_names, q_relations, q_text  # noqa: F401
 
 
 load()

@@ -107,6 +107,7 @@ def impact_risk(spark, sf):
 def connected_components(spark, sf):
     """Components of exact copies, linked as a chain of neighbours in each group."""
     d = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    d = d.where("h is not null")  # null texts are no copies of each other
     e = d.select(F.col("doc_id").alias("source"), F.lead("doc_id").over(W.partitionBy("h").orderBy("doc_id")).alias("target")).where("target is not null")
     return G.components(e)
 

@@ -15,12 +15,12 @@ def _q(pattern: str) -> str:
     return pattern.replace("'", "''")
 
 
-@query("text_detectors", " UNION ALL ".join(f"SELECT '{d}' AS detector, '{c}' AS category, '{s}' AS severity, count(*) AS n, min(doc_id) AS first_doc FROM documents WHERE regexp_matches(text, '{_q(p)}') HAVING count(*) > 0" for d, c, s, p in D.TEXT))
+@query("text_detectors", " UNION ALL ".join(f"SELECT '{d}' AS detector, '{c}' AS category, '{s}' AS severity, count(*) AS n, min(doc_id) AS first_doc FROM documents WHERE regexp_matches(text, '{_q(p)}') HAVING count(*) > 0" for d, c, s, p, *_ in D.TEXT))
 def text_detectors(spark, sf):
     return D.in_text(table(spark, sf, "documents"), "doc_id", "text").groupBy("detector", "category", "severity").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
 
 
-@query("page_detectors", " UNION ALL ".join(f"SELECT '{d}' AS detector, count(*) AS n FROM pages WHERE regexp_matches(html, '{_q(p)}') HAVING count(*) > 0" for d, c, s, p in D.TEXT))
+@query("page_detectors", " UNION ALL ".join(f"SELECT '{d}' AS detector, count(*) AS n FROM pages WHERE regexp_matches(html, '{_q(p)}') HAVING count(*) > 0" for d, c, s, p, *_ in D.TEXT))
 def page_detectors(spark, sf):
     return D.in_text(table(spark, sf, "pages"), "page_id", "html").groupBy("detector").agg(F.count(F.lit(1)).alias("n"))
 

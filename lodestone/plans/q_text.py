@@ -86,8 +86,7 @@ def halstead_volume(spark, sf):
     return v.withColumn("volume", F.round(S.halstead_volume(F.col("n"), F.col("distinct_words")), 4))
 
 
-@query("sensitive_values", r"""SELECT doc_id, CASE WHEN regexp_matches(text, '\b[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}\b') THEN 'CreditCard' WHEN regexp_matches(text, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b') THEN 'SSN' WHEN regexp_matches(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b') THEN 'Email'
-    WHEN regexp_matches(text, '\b[0-9]{3}[-.]?[0-9]{3}[-.]?[0-9]{4}\b') THEN 'Phone' WHEN regexp_matches(text, 'AKIA[0-9A-Z]{16}') THEN 'AwsKey' WHEN regexp_matches(text, 'eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+') THEN 'JWT' WHEN regexp_matches(text, 'Bearer\s+[A-Za-z0-9._-]+') THEN 'Bearer' ELSE '' END AS kind FROM documents""")
+@query("sensitive_values", "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{k}'" for k, p in T.SENSITIVE_VALUES.items()) + " ELSE '' END AS kind FROM documents")
 def sensitive_values(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.coalesce(T.first_sensitive(F.col("text")), F.lit("")).alias("kind"))
 

@@ -48,8 +48,9 @@ def sarif(issues: DataFrame, tool: str = "lodestone", most: int = 1000, least: i
 
 
 def junit(issues: DataFrame, files: int, most: int = 1000, least: int = 0) -> str:
-    """A suite for each category, a case for each issue (failed from errors on), and one case that counts clean files."""
+    """A suite for each category, a case for each issue (failed from errors on), and one case that counts clean files, whatever ``most`` is."""
     rows = ranked(issues, most, least).collect()
+    touched = issues.where(F.col("sev_rank") >= least).agg(F.count_distinct("path")).first()[0]
     suites: dict[str, list] = {}
     for r in rows:
         suites.setdefault(r["category"], []).append(r)
@@ -58,7 +59,7 @@ def junit(issues: DataFrame, files: int, most: int = 1000, least: int = 0) -> st
         cases = "".join(f"<testcase name={quoteattr(f'{r["rule_id"]} {r["path"]}:{r["line"]}')} classname={quoteattr(name)}>" + (f"<failure message={quoteattr(r['message'])}/>" if r["sev_rank"] >= 3 else f"<system-out>{escape(r['message'])}</system-out>") + "</testcase>" for r in suites[name])
         failed = sum(r["sev_rank"] >= 3 for r in suites[name])
         parts.append(f'<testsuite name={quoteattr(name)} tests="{len(suites[name])}" failures="{failed}">{cases}</testsuite>')
-    clean = files - len({r["path"] for r in rows})
+    clean = files - touched
     parts.append(f'<testsuite name="clean files" tests="1" failures="0"><testcase name="{clean} files without issues"/></testsuite>')
     return f'<?xml version="1.0" encoding="UTF-8"?><testsuites>{"".join(parts)}</testsuites>'
 
@@ -93,3 +94,54 @@ def text_dashboard(score: float, issues: DataFrame, n: int = 5) -> str:
 def write_snapshot(metrics: DataFrame, path: str) -> None:
     """Append one snapshot of metrics (with ``ts``), in a folder for each day."""
     metrics.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").json(path)
+
+
+def artifacts(issues: DataFrame) -> DataFrame:
+    """(uri): distinct non-empty paths with forward slashes."""
+    return issues.select(F.replace("path", F.lit("\\"), F.lit("/")).alias("uri")).where("uri != ''").distinct()
+
+
+def json_lines(rows: DataFrame) -> DataFrame:
+    """(text): each row as a JSON object, to be written as text; clone, migration and graph exports are such tables."""
+    return rows.select(F.to_json(F.struct("*")).alias("text"))
+
+
+def graph_export(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(text): all nodes, all edges and one row of counts as JSON lines, each with its ``part``."""
+    counts = nodes.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(F.broadcast(edges.agg(F.count(F.lit(1)).alias("edges"))))  # one row each
+    parts = [json_lines(x.select(F.lit(p).alias("part"), "*")) for p, x in (("node", nodes), ("edge", edges), ("stats", counts))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def sections(issues: DataFrame, title: str, group: str, top: int = 10) -> str:
+    """A plain report: totals by severity, then each group with its count and its ``top`` worst rows; for debt, contracts, settings, documentation, leaks and threads alike."""
+    by = {r["severity"]: r["count"] for r in issues.groupBy("severity").count().collect()}
+    from pyspark.sql.window import Window as W
+
+    ordered = W.partitionBy(group).orderBy(F.desc("sev_rank"), "path", "line", "id")
+    rows = issues.withColumns({"n": F.count(F.lit(1)).over(W.partitionBy(group)), "r": F.row_number().over(ordered)}).where(F.col("r") <= top)
+    lines = [title, "=" * len(title), "", *[f"{k}: {by[k]}" for k in sorted(by)]]
+    last = None
+    for r in rows.select(group, "n", "r", "severity", "path", "line", "message").orderBy(F.desc("n"), group, "r").collect():
+        if r[group] != last:
+            last = r[group]
+            lines += ["", f"{last} ({r['n']})"]
+        lines.append(f"  [{r['severity']}] {r['path']}:{r['line']} {r['message']}")
+    return "\n".join(lines) + "\n"
+
+
+def history_chart(snapshots: DataFrame, value: str) -> list[tuple[str, float]]:
+    """Points of a trend chart in order of time."""
+    return [(str(r["ts"]), r[value]) for r in snapshots.orderBy("ts").select("ts", value).collect()]
+
+
+def fresh(cache: DataFrame, oldest: str) -> DataFrame:
+    """Cache or backup rows (``at``) not older than ``oldest``; null times go."""
+    return cache.where(F.col("at") >= F.lit(oldest).cast("timestamp"))
+
+
+def backup_errors(wanted: DataFrame, present: DataFrame) -> DataFrame:
+    """(path, error) of backups (path, sha) that are missing or differ."""
+    p = present.select("path", F.col("sha").alias("now"))
+    j = wanted.join(p, "path", "left")
+    return j.select("path", F.when(F.col("now").isNull(), "missing").when(F.col("now") != F.col("sha"), "differs").alias("error")).where("error is not null")

@@ -89,19 +89,25 @@ def env_config(spark: SparkSession, path: str) -> DataFrame:
     return x.select("path", key.alias("key"), F.regexp_replace(value, "^([\"'])(.*)\\1$", "$2").alias("value"), sensitive_key(key).alias("sensitive"))
 
 
-def json_config(spark: SparkSession, path: str, deep: int = 16) -> DataFrame:
-    """(path, key, value, sensitive) of JSON settings flattened to ``A:B:0``; null values go. ``deep`` levels are opened at most."""
+def json_config(spark: SparkSession, path: str) -> DataFrame:
+    """(path, key, value, sensitive) of JSON settings flattened to ``A:B:0``; null values go; levels are opened until none is left."""
     level = texts(spark, path).select("path", F.lit("").alias("key"), F.try_parse_json("content").alias("v")).where("v is not null")
     done = None
-    for _ in range(deep):
+    while True:
         kind = F.schema_of_variant("v")
         leaf = level.where(~kind.startswith("OBJECT") & ~kind.startswith("ARRAY") & (kind != "VOID")).select("path", "key", F.try_variant_get("v", "$", "string").alias("value"))
         done = leaf if done is None else done.unionByName(leaf)
+        if not level.where(~leaf_kind(kind)).limit(1).count():
+            break
         level = _opened(level)
     sens = sensitive_key(F.col("key")) & (F.length("value") > 3)
     return done.select("path", F.substring("key", 2, 100_000).alias("key"), "value", sens.alias("sensitive"))
 
 
+def leaf_kind(kind: Column) -> Column:
+    return ~kind.startswith("OBJECT<") & ~kind.startswith("ARRAY<")
+
+
 def _opened(level: DataFrame) -> DataFrame:
     """One level of objects and arrays: a row for each member, its name or place added to the key."""
     level.createOrReplaceTempView("_json_level")
@@ -166,3 +172,64 @@ def snapshots(spark: SparkSession, path: str, schema: str, since: str | None = N
     """Metric snapshots newer than ``since`` in order of time; bad files are skipped."""
     s = spark.read.schema(schema).option("mode", "DROPMALFORMED").option("multiLine", "true").json(path).where("ts is not null")
     return (s.where(F.col("ts") >= F.lit(since).cast("timestamp")) if since else s).orderBy("ts")
+
+
+def dotcover_xml(spark: SparkSession, path: str) -> DataFrame:
+    """(assembly, namespace, type, method, covered, total) of the statements that a method's report counts."""
+    method = "array<struct<_Name string, _CoveredStatements long, _TotalStatements long>>"
+    schema = f"_Name string, Namespace array<struct<_Name string, Type array<struct<_Name string, Method {method}>>>>"
+    a = spark.read.format("xml").option("rowTag", "Assembly").schema(schema).load(path)
+    n = a.select(F.col("_Name").alias("assembly"), F.explode("Namespace").alias("n")).select("assembly", F.col("n._Name").alias("namespace"), F.explode("n.Type").alias("t"))
+    return n.select("assembly", "namespace", F.col("t._Name").alias("type"), F.explode("t.Method").alias("m")).select("assembly", "namespace", "type", F.col("m._Name").alias("method"), F.col("m._CoveredStatements").alias("covered"), F.col("m._TotalStatements").alias("total"))
+
+
+def dotcover_json(spark: SparkSession, path: str) -> DataFrame:
+    """(path, kind, covered, total) of every node of the tree, ``path`` being its names from the root, joined by slashes."""
+    level = texts(spark, path).select(F.lit("").alias("path"), F.try_parse_json("content").alias("v")).where("v is not null")
+    out = None
+    while True:
+        get = lambda k, t: F.try_variant_get("v", f"$.{k}", t)
+        level = level.select(F.concat_ws("/", F.nullif("path", F.lit("")), get("Name", "string")).alias("path"), "v")
+        rows = level.select("path", get("Kind", "string").alias("kind"), get("CoveredStatements", "long").alias("covered"), get("TotalStatements", "long").alias("total"))
+        out = rows if out is None else out.unionByName(rows)
+        level = level.select("path", F.explode(F.try_variant_get("v", "$.Children", "array<variant>")).alias("v"))
+        if not level.limit(1).count():
+            return out
+
+
+def assets_file(spark: SparkSession, path: str) -> DataFrame:
+    """(package, version, dependency) of an assets file's first target framework."""
+    x = texts(spark, path).select(F.from_json("content", "targets map<string, map<string, struct<type string, dependencies map<string, string>>>>").alias("j"))
+    first = x.select(F.get(F.map_entries("j.targets"), F.lit(0))["value"].alias("p"))
+    p = first.select(F.explode("p").alias("id", "p"))
+    return p.select(F.substring_index("id", "/", 1).alias("package"), F.substring_index("id", "/", -1).alias("version"), F.explode_outer(F.map_keys("p.dependencies")).alias("dependency"))
+
+
+def central_versions(spark: SparkSession, path: str) -> DataFrame:
+    """(package, version) of a central version file."""
+    r = spark.read.format("xml").option("rowTag", "PackageVersion").schema("_Include string, _Version string").load(path)
+    return r.where("_Include is not null").select(F.col("_Include").alias("package"), F.col("_Version").alias("version"))
+
+
+def with_central_versions(references: DataFrame, central: DataFrame) -> DataFrame:
+    """References whose version is ``*`` take the central one, where there is one."""
+    c = central.select("package", F.col("version").alias("central"))
+    return references.join(c, "package", "left").select("package", F.when(F.col("version") == "*", F.coalesce("central", "version")).otherwise(F.col("version")).alias("version"))
+
+
+def advisories(known: DataFrame, fetched: DataFrame) -> DataFrame:
+    """Both tables' advisories (package, id, severity), an identifier once; the known one comes first."""
+    both = known.withColumn("_from", F.lit(0)).unionByName(fetched.withColumn("_from", F.lit(1)))
+    return both.groupBy("package", "id").agg(F.min_by("severity", "_from").alias("severity"))
+
+
+def cached(spark: SparkSession, path: str, version: str) -> DataFrame:
+    """(path, hash, result) of a result cache in Parquet; rows of another version count for nothing."""
+    return spark.read.schema("version string, path string, hash string, result string").parquet(path).where(F.col("version") == version).drop("version")
+
+
+def config_files(paths: DataFrame) -> DataFrame:
+    """Of (path), the settings files: ``appsettings*.json`` and ``App.config``/``Web.config`` anywhere but under bin and obj, ``.env*`` anywhere."""
+    name = F.lower(F.element_at(F.split(F.replace("path", F.lit("\\"), F.lit("/")), "/"), -1))
+    kind = F.when(name.rlike("^appsettings.*[.]json$"), "json").when(name.isin("app.config", "web.config"), "xml").when(name.startswith(".env"), "env")
+    return paths.select("path", kind.alias("kind")).where("kind is not null").where(~F.lower("path").rlike("(^|[/\\\\])(bin|obj)[/\\\\]"))

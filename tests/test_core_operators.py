@@ -228,3 +228,54 @@ def test_planning():
     assert ordered(["a", "b"], {"a": {"b"}, "b": {"a"}}, rank) == ["b", "a"]
     assert not valid([], set(), {}) and not valid(["a", "a"], set(), {}) and not valid(["a", "b"], {("b", "a")}, {}) and not valid(["b", "a"], set(), after)
     assert chains(["a", "b", "c"], {("a", "b")}, after, rank, {"a": 1, "b": 5, "c": 2})[0] == ["b", "c"]
+
+
+def test_unbounded_depths(spark, tmp_path):
+    """Settings 20 levels deep, and a path of 60 edges."""
+    import json as j
+
+    value = "leaf"
+    for k in reversed(range(20)):
+        value = {f"k{k}": value}
+    (tmp_path / "deep.json").write_text(j.dumps(value))
+    rows = readers.json_config(spark, str(tmp_path / "deep.json")).collect()
+    assert [(r.key, r.value) for r in rows] == [(":".join(f"k{k}" for k in range(20)), "leaf")]
+    e = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)], "source string, target string")
+    assert len(G.shortest_path(e, "n000", "n060").first().path) == 61
+    assert {r.node: r.depth for r in G.depths(e.unionByName(spark.createDataFrame([("x", "y"), ("y", "x")], "source string, target string"))).collect()}["x"] == 2147483647
+
+
+def test_clean_files_count_all_issues(spark):
+    rows = [(i, "R", "c", "Error", 3, f"f{i}", 1, "m") for i in range(5)]
+    df = spark.createDataFrame(rows, "id int, rule_id string, category string, severity string, sev_rank int, path string, line int, message string")
+    assert "5 files without issues" in reports.junit(df, 10, most=2) and "[Error] f0:1 m" in reports.sections(df, "T", "category", 1)
+
+
+def test_more_readers(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"targets": {"net8": {"A/1.0": {"type": "package", "dependencies": {"B": "2.0"}}, "B/2.0": {"type": "package"}}, "net9": {"C/1.0": {}}}}')
+    got = {(r.package, r.version, r.dependency) for r in readers.assets_file(spark, str(tmp_path / "a.json")).collect()}
+    assert got == {("A", "1.0", "B"), ("B", "2.0", None)}
+    (tmp_path / "d.json").write_text('{"Name": "Root", "Kind": "Root", "CoveredStatements": 1, "TotalStatements": 2, "Children": [{"Name": "M", "Kind": "Method", "CoveredStatements": 1, "TotalStatements": 2}]}')
+    assert {(r.path, r.covered) for r in readers.dotcover_json(spark, str(tmp_path / "d.json")).collect()} == {("Root", 1), ("Root/M", 1)}
+    (tmp_path / "d.xml").write_text('<Root><Assembly Name="A"><Namespace Name="N"><Type Name="T"><Method Name="M" CoveredStatements="3" TotalStatements="4"/></Type></Namespace></Assembly></Root>')
+    assert [tuple(r) for r in readers.dotcover_xml(spark, str(tmp_path / "d.xml")).collect()] == [("A", "N", "T", "M", 3, 4)]
+    (tmp_path / "v.xml").write_text('<P><PackageVersion Include="A" Version="7"/></P>')
+    assert [tuple(r) for r in readers.central_versions(spark, str(tmp_path / "v.xml")).collect()] == [("A", "7")]
+    paths = spark.createDataFrame([("x/appsettings.Dev.json",), ("bin/appsettings.json",), ("App.config",), (".env.local",), ("other.json",)], "path string")
+    assert {(r.path, r.kind) for r in readers.config_files(paths).collect()} == {("x/appsettings.Dev.json", "json"), ("App.config", "xml"), (".env.local", "env")}
+
+
+def test_renamed_fragments_are_alike(spark):
+    from lodestone.operators import clones
+
+    df = spark.createDataFrame([(1, "int a = b + 5 ; a ( 99 , b )".split()), (2, "int x = y + 5 ; x ( 77 , y )".split()), (3, "int x = x + 5 ; x ( 77 , x )".split()), (4, None)], "id int, tokens array<string>")
+    got = {r.id: r.t for r in df.select("id", clones.renamed(df.tokens, ["int"]).alias("t")).collect()}
+    assert got[1] == got[2] != got[3] and got[1][:4] == ["int", "$1", "=", "$2"] and got[4] is None
+    f = spark.createDataFrame([("a", 1, 9, "b"), ("a", 9, 12, "c"), ("a", 10, 12, "d"), ("z", 1, 9, "e")], "path string, start_line int, end_line int, id string")
+    x, y = f.alias("x"), f.alias("y")
+    assert {(r[0], r[1]) for r in x.join(y, clones.overlapping("x", "y") & (F.col("x.id") < F.col("y.id"))).select("x.id", "y.id").collect()} == {("b", "c"), ("c", "d")}
+
+
+def test_unknown_conditions_are_named():
+    rules, _ = E.parse([{"name": "r", "message": "m", "pattern": {"match": "*", "conditions": ["inLoop", "noSuch(1)", "notInLoop"]}}])
+    assert E.unknown_conditions(rules) == [("r", "noSuch(1)"), ("r", "notInLoop")]
