@@ -41,7 +41,7 @@ CHUNK_BYTES = 1 << 18
 #: Text bytes of a partition, about; the session's number of shuffle partitions is the least.
 PARTITION_BYTES = 256 << 20
 #: Distinct pieces that a Python worker remembers; beyond, it starts anew.
-PIECES = 300_000
+PIECES = 1_000_000
 #: How a tokenizer file must normalize and split for texts to be cut by the rules below.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -228,7 +228,7 @@ HASH = np.uint64(0x9E3779B97F4A7C15)
 def repair(seq: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
     """Symbols, ends of documents among them, rules (pairs) and rules of each round, when no pair repeats.
 
-    Each round takes the pairs with at least a third as many uses as the one
+    Each round takes the pairs with at least a quarter as many uses as the one
     before asked for, down to two, and replaces their occurrences; of two that
     overlap, that of the more frequent pair. A pair that so falls below two uses
     waits. Rounds for two uses look only at places (``live``) that the round
@@ -242,7 +242,7 @@ def repair(seq: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray, np
             h = ((key * HASH) >> np.uint64(46)).astype(np.int64)
             open_ = ~last[:-1]
             count = np.bincount(h[open_], minlength=1 << 18)
-            bar = max(2, min(bar, int(count.max())) // 3)
+            bar = max(2, min(bar, int(count.max())) // 4)
             at = np.flatnonzero((count >= bar)[h] & open_)
             own = key[at]
         else:
