@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import cut
 from ..operators.issues import rank
 from ..session import table
 
@@ -70,19 +71,26 @@ COMMITS = """commits AS (SELECT 'part' || l_partkey AS path, o_orderkey AS commi
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
-def trade(spark: SparkSession, sf: str, n: int = 3) -> DataFrame:
-    """Nations as modules: each one's customers depend on the ``n`` nations whose suppliers deliver most to them."""
-    from pyspark.sql.window import Window as W
+def trade(spark: SparkSession, sf: str, over: float = 1.5) -> DataFrame:
+    """Nations as modules: each one's customers depend on all nations whose suppliers deliver more to them than chance would.
 
+    More than chance: above the count that both nations' totals let expect, by ``over`` times its square root.
+    """
     o, l, c, s, na = (table(spark, sf, t) for t in ("orders", "lineitem", "customer", "supplier", "nation"))
     pairs = l.join(o, l["l_orderkey"] == o["o_orderkey"]).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("c_nationkey", "s_nationkey").agg(F.count(F.lit(1)).alias("n"))
-    top = pairs.withColumn("r", F.row_number().over(W.partitionBy("c_nationkey").orderBy(F.desc("n"), "s_nationkey"))).where(F.col("r") <= n)
+    pairs = cut(pairs)
+    buys, sells = (pairs.groupBy(k).agg(F.sum("n").cast("double").alias(a)) for k, a in (("c_nationkey", "buys"), ("s_nationkey", "sells")))
+    total = pairs.agg(F.sum("n").cast("double").alias("all"))  # one row
+    expected = F.col("buys") * F.col("sells") / F.col("all")
+    much = pairs.join(buys, "c_nationkey").join(sells, "s_nationkey").join(F.broadcast(total), F.col("n") > expected + over * F.sqrt(expected))
     a, b = na.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("source")), na.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("target"))
-    return top.join(a, "c_nationkey").join(b, "s_nationkey").select("source", "target", "n")
+    return much.join(a, "c_nationkey").join(b, "s_nationkey").select("source", "target", "n")
 
 
-TRADE = """trade AS (SELECT a.n_name AS source, b.n_name AS target, n FROM (SELECT c_nationkey, s_nationkey, count(*) AS n, row_number() OVER (PARTITION BY c_nationkey ORDER BY count(*) DESC, s_nationkey) AS r
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2) JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = s_nationkey WHERE r <= 3),
+TRADE = """pairs AS (SELECT c_nationkey, s_nationkey, count(*) AS n
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
+expected AS (SELECT *, (sum(n) OVER (PARTITION BY c_nationkey))::DOUBLE * (sum(n) OVER (PARTITION BY s_nationkey))::DOUBLE / (sum(n) OVER ())::DOUBLE AS x FROM pairs),
+trade AS (SELECT a.n_name AS source, b.n_name AS target, n FROM expected JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = s_nationkey WHERE n > x + 1.5::DOUBLE * sqrt(x)),
 edges AS (SELECT DISTINCT source, target FROM trade WHERE source <> target)"""
 
 

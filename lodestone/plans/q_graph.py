@@ -12,13 +12,13 @@ from ..session import table
 from .catalog import query
 from .facts import HIERARCHY, TRADE, hierarchy, trade
 
-REACH = f"{TRADE}, r AS (SELECT DISTINCT source AS root, target AS node, 1 AS depth FROM edges UNION SELECT r.root, e.target, r.depth + 1 FROM r JOIN edges e ON r.node = e.source WHERE depth < 10), d AS (SELECT root, node, min(depth) AS depth FROM r WHERE root <> node GROUP BY 1, 2)"
+REACH = f"{TRADE}, r AS (SELECT DISTINCT source AS root, target AS node, 1 AS depth FROM edges UNION SELECT r.root, e.target, r.depth + 1 FROM r JOIN edges e ON r.node = e.source WHERE depth < (SELECT count(*) FROM nation)), d AS (SELECT root, node, min(depth) AS depth FROM r WHERE root <> node GROUP BY 1, 2)"
 
 
 @query("transitive_closure", f"WITH RECURSIVE {REACH} SELECT root, node, depth::INT AS depth FROM d")
 def transitive_closure(spark, sf):
     e = trade(spark, sf)
-    return G.reach(e, G.nodes(e).select(F.col("node").alias("root")), 10).where("depth > 0").select("root", "node", "depth")
+    return G.reach(e, G.nodes(e).select(F.col("node").alias("root"))).where("depth > 0").select("root", "node", "depth")
 
 
 @query("transitive_callers", f"WITH RECURSIVE {REACH} SELECT node AS target, root AS caller, depth::INT AS depth FROM d WHERE depth <= 2")
@@ -37,26 +37,25 @@ def node_depths(spark, sf):
     return G.depths(hierarchy(spark, sf))
 
 
-@query("shortest_paths", f"""WITH RECURSIVE {TRADE}, p AS (SELECT source, target, [source, target] AS path FROM edges WHERE source = 'NATION_0' UNION ALL SELECT p.source, e.target, list_append(path, e.target) FROM p JOIN edges e ON p.target = e.source WHERE len(path) < 6 AND NOT list_contains(path, e.target))
-SELECT target AS node, len(min_by(path, len(path)))::INT AS nodes FROM p GROUP BY target""")
+@query("shortest_paths", f"""WITH RECURSIVE {TRADE}, r AS (SELECT min(source) AS node, 0 AS depth FROM edges UNION SELECT e.target, r.depth + 1 FROM r JOIN edges e ON r.node = e.source WHERE depth < (SELECT count(*) FROM nation))
+SELECT node, (min(depth) + 1)::INT AS nodes FROM r WHERE node IS NOT NULL GROUP BY node HAVING min(depth) > 0""")
 def shortest_paths(spark, sf):
-    e = trade(spark, sf)
-    seed = e.sparkSession.createDataFrame([("NATION_0",)], "root string")
-    return G.reach(e, seed, 5).where("depth > 0").select("node", (F.col("depth") + 1).alias("nodes"))
+    e = G.cut(G.simple(trade(spark, sf)))
+    return G.reach(e, e.agg(F.min("source").alias("root")).where("root is not null")).where("depth > 0").select("node", (F.col("depth") + 1).alias("nodes"))
 
 
-@query("all_paths", f"""WITH RECURSIVE {TRADE}, ends AS (SELECT min(source) AS a, max(target) AS b FROM edges), p AS (SELECT source, target, [source, target] AS path FROM edges, ends WHERE source = a UNION ALL SELECT p.source, e.target, list_append(path, e.target) FROM p JOIN edges e ON p.target = e.source, ends WHERE len(path) < 6 AND p.target <> b AND NOT list_contains(path, e.target))
+@query("all_paths", f"""WITH RECURSIVE {TRADE}, ends AS (SELECT min(source) AS a, max(target) AS b FROM edges), p AS (SELECT source, target, [source, target] AS path FROM edges, ends WHERE source = a UNION ALL SELECT p.source, e.target, list_append(path, e.target) FROM p JOIN edges e ON p.target = e.source, ends WHERE len(path) < 11 AND p.target <> b AND NOT list_contains(path, e.target))
 SELECT array_to_string(path, '>') AS path FROM p, ends WHERE target = b""")
 def all_paths(spark, sf):
     e = G.cut(trade(spark, sf))
     a, b = e.where("source != target").agg(F.min("source"), F.max("target")).first()
-    return G.paths(e, a, b, 5).select(F.array_join("path", ">").alias("path"))
+    return G.paths(e, a, b).select(F.array_join("path", ">").alias("path"))
 
 
-@query("cycles", f"""WITH RECURSIVE {TRADE}, p AS (SELECT source AS first, target AS last, [source, target] AS path FROM edges WHERE source < target UNION ALL SELECT first, e.target, list_append(path, e.target) FROM p JOIN edges e ON p.last = e.source WHERE e.target > first AND NOT list_contains(path, e.target) AND len(path) < 4)
+@query("cycles", f"""WITH RECURSIVE {TRADE}, p AS (SELECT source AS first, target AS last, [source, target] AS path FROM edges WHERE source < target UNION ALL SELECT first, e.target, list_append(path, e.target) FROM p JOIN edges e ON p.last = e.source WHERE e.target > first AND NOT list_contains(path, e.target) AND len(path) < 10)
 SELECT DISTINCT array_to_string(path, '>') AS cycle, len(path)::INT AS length FROM p JOIN edges e ON e.source = p.last AND e.target = p.first ORDER BY length, cycle LIMIT 50""")
 def cycles(spark, sf):
-    return G.cycles(trade(spark, sf), 4)
+    return G.cycles(trade(spark, sf))
 
 
 @query("circular_pairs", """WITH t AS (SELECT user_id, event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events), p AS (SELECT DISTINCT user_id, a, b FROM t WHERE b IS NOT NULL AND a <> b) SELECT user_id, a, b FROM p WHERE (user_id, b, a) IN (SELECT user_id, a, b FROM p)""")
