@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, flat, pieces, range_hashes, small, store
+from .common import bounded, flat, mix, pieces, range_hashes, small, store
 
 LENGTH, GRAM = 200, 32
 REACH = LENGTH - GRAM  # how far left of its anchor a string may begin
@@ -79,7 +79,10 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tupl
 
 
 def _counted(blocks: int):
-    """(block, keys, counts, hashes): the anchors of each text, dealt into blocks by hash."""
+    """(block, keys, hashes, fields): the anchors of each text, dealt into blocks by hash.
+
+    Anchors are least hashes, so nearly all are small: they are mixed again before they are dealt.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,7 +93,7 @@ def _counted(blocks: int):
                 at, h, lo, hi = anchors(data[offsets[i] : offsets[j]], own)
                 text = np.searchsorted(own, at, "right") - 1
                 fields = np.stack([at - own[text], lo, hi], 1).astype(np.int32)
-                block = (h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)
+                block = (mix(h) >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)
                 order = np.argsort(block, kind="stable")
                 found, first = np.unique(block[order], return_index=True)
                 for b, x in zip(found.tolist(), np.split(order, first[1:])):

@@ -165,6 +165,18 @@ def test_repeats_match_all_windows(shape, seed):
     assert (gone == np.concatenate(list(plain_removed(texts)))).all()
 
 
+def test_anchors_are_dealt_evenly_into_blocks():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.integers(97, 123, 3000, np.uint8)).decode() for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["key", "text"])
+    sizes = Counter()
+    for out in suffix_dedup._counted(40)([batch]):
+        sizes[out.column(0)[0].as_py()] += len(out.column(2)[0].as_py()) // 8
+    assert len(sizes) == 40 and max(sizes.values()) < 2 * sum(sizes.values()) / 40
+
+
 def test_classifier_learns_and_scores_any_length():
     rng = np.random.default_rng(1)
     word = lambda: "".join(rng.choice(list("aeinrst"), 5))
