@@ -7,9 +7,13 @@ of tasks, never of the whole job, and nothing lives on one machine's disk.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +72,65 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
     return F.broadcast(df) if n <= rows and (total or 0) <= size else df
 
 
+#: What drops that which an operator remembers in a Python worker between its tasks, by the operator's name.
+remembered: dict[str, Callable[[], None]] = {}
+_tidied = 0.0
+
+
+def tidy() -> None:
+    """Give freed memory back to the system; the C library and Arrow's pool else keep it as long as the worker lives."""
+    global _tidied
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+    _tidied = time.monotonic()
+
+
+def forget(keeps: str = "") -> None:
+    """Drop what all operators but one remember in this worker."""
+    for name, drop in remembered.items():
+        if name != keeps:
+            drop()
+
+
+def lean(run: Callable, keeps: str = "") -> Callable:
+    """``run`` over batches, for a Python worker that other operators' tasks use before and after.
+
+    What others remember is dropped first, and memory given back afterwards.
+    The task names functions of this module only: variables would go to the worker as copies.
+    """
+
+    @functools.wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(keeps)
+        tidy()
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return task
+
+
+def lean_groups(run: Callable) -> Callable:
+    """``run`` on one group at a time; memory is given back at most twice a second."""
+
+    @functools.wraps(run)
+    def group(rows):
+        out = run(rows)
+        settle()
+        return out
+
+    return group
+
+
+def settle() -> None:
+    if time.monotonic() - _tidied > 0.5:
+        forget()
+        tidy()
+
+
 def text_key(doc_id: Column, text: Column) -> Column:
     """32 bytes that tell rows of different id or text apart; nulls are values of their own."""
     return F.unhex(F.sha2(F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.when(text.isNull(), F.lit("\0")).otherwise(F.lit(":")), F.coalesce(text.cast("string"), F.lit(""))), 256))

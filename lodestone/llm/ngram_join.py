@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import bounded, flat, mix, pieces, range_hashes, small, store, text_key
+from .common import bounded, flat, lean, lean_groups, mix, pieces, range_hashes, small, store, text_key
 
 WORDS = 5
 #: Text bytes that are hashed at a time, n-grams in a block of columns, and classes whose totals are summed at once.
@@ -214,7 +214,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (u, v) whose overlap reaches the bound."""
     a = sets.select(F.col("node").alias("u"), F.col("grams").alias("ga"))
     b = sets.select(F.col("node").alias("v"), F.col("grams").alias("gb"))
-    return pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", F.array_sort("ga").alias("ga"), F.array_sort("gb").alias("gb")).mapInArrow(_product(percent), "u long, v long")
+    return pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", F.array_sort("ga").alias("ga"), F.array_sort("gb").alias("gb")).mapInArrow(lean(_product(percent)), "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keys)
     salt, clash = 0, True
     while clash:  # until every class has a name of its own, which at once is all but certain
-        rows = store(docs.mapInArrow(_signed(salt), "doc_id long, n long, node long, check long" + ", key binary" * keyed), "rows")
+        rows = store(docs.mapInArrow(lean(_signed(salt)), "doc_id long, n long, node long, check long" + ", key binary" * keyed), "rows")
         classes = store(rows.where("n > 0").groupBy("node", "check", "n").agg(F.min("doc_id").alias("rep"), F.max(F.col("doc_id").isNull().cast("int")).alias("odd")), "classes")
         clash = classes.groupBy("node").count().where("count > 1").limit(1).count() > 0
         salt += clash
@@ -258,11 +258,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total, many = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     blocks, ranges = max(16, -(-total // BLOCK_NGRAMS)), max(1, -(-many // RANGE_CLASSES))
 
-    shared = docs.mapInArrow(_blocks(blocks, salt), "block long, nodes binary, counts binary, keys binary").groupBy("block").applyInPandas(_shared(ranges), "part long, nodes binary, counts binary").groupBy("part").applyInPandas(_totals, "node long, shared long")
+    shared = docs.mapInArrow(lean(_blocks(blocks, salt)), "block long, nodes binary, counts binary, keys binary").groupBy("block").applyInPandas(lean_groups(_shared(ranges)), "part long, nodes binary, counts binary").groupBy("part").applyInPandas(lean_groups(_totals), "node long, shared long")
     alive = store(classes.join(shared, "node").where(100 * F.col("shared") >= percent * F.col("n")).select("node", "rep"), "alive")
 
     chosen = docs.join(small(alive.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi") if not alive.where("rep is null").limit(1).count() else docs
-    sets = chosen.mapInArrow(_sets(salt), "node long, n long, grams array<long>").where("n > 0").join(small(alive.select("node")), "node", "left_semi")
+    sets = chosen.mapInArrow(lean(_sets(salt)), "node long, n long, grams array<long>").where("n > 0").join(small(alive.select("node")), "node", "left_semi")
     sets = store(sets.dropDuplicates(["node"]), "sets")
 
     post = sets.select("node", "n", F.explode("grams").alias("h"))

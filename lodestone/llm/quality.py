@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, flat, pieces
+from .common import bounded, flat, lean, pieces
 
 #: Bytes of a window, step between windows, numbers of an embedded byte, filters.
 WINDOW, STEP, WIDTH, FILTERS = 12, 3, 4, 16
@@ -222,7 +222,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str =
                 s = score(shared.value, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -238,4 +238,4 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: st
                 s = score(shared.value, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield batch.slice(i, j - i).filter(pa.array(s >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import bounded, flat, pieces, range_hashes, small, store
+from .common import bounded, flat, lean, pieces, range_hashes, remembered, small, store
 
 SHARD_IDS = 1 << 18
 CHUNK_BYTES = 1 << 18
@@ -42,6 +42,8 @@ CHUNK_BYTES = 1 << 18
 PARTITION_BYTES = 256 << 20
 #: Distinct pieces that a Python worker remembers; beyond, it starts anew.
 PIECES = 1_000_000
+#: Pieces that go through the library at once.
+BATCH_PIECES = 4096
 #: How a tokenizer file must normalize and split for texts to be cut by the rules below.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -115,7 +117,9 @@ class Encoder:
         return found
 
     def _learn(self, h: np.ndarray, texts: list[bytes]) -> None:
-        rows = [x.ids for x in self.library.encode_batch([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False)]
+        rows = []
+        for i in range(0, len(texts), BATCH_PIECES):  # the library's answers are many times as large as the ids in them
+            rows += [x.ids for x in self.library.encode_batch([x.decode("utf-8", "replace") for x in texts[i : i + BATCH_PIECES]], add_special_tokens=False)]
         size = np.array([len(x) for x in rows], np.int32)
         flat_ids = np.array([i for x in rows for i in x], np.uint32)
         length = np.array([len(x) for x in texts], np.int64)
@@ -213,10 +217,11 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+remembered["token_files"] = _encoders.clear
 
 
 def encoder(path: str) -> Encoder:
-    """One for each Python worker and file, kept between tasks."""
+    """One for each Python worker and file, kept between tasks until another operator's begins."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
@@ -443,12 +448,12 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str =
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_BYTES))
     order = ["doc_id", "hash", "part"]  # the last deals equal rows by the partition that they were read in
     docs = docs.withColumn("hash", F.xxhash64("text")).withColumn("part", F.spark_partition_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
-    return store(docs.mapInArrow(_encode(tokenizer, end_id), "part int, shard int, offset long, n_ids long, payload binary"), "tokens")
+    return store(docs.mapInArrow(lean(_encode(tokenizer, end_id), keeps="token_files"), "part int, shard int, offset long, n_ids long, payload binary"), "tokens")
 
 
 def read_digests(shards: DataFrame) -> DataFrame:
     """Per document, from the stored shards: doc_id, start, n_tokens, ids_crc32."""
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    rows = shards.mapInArrow(_digest, "doc_id long, part int, begin long, n_tokens long, ids_crc32 long")
+    rows = shards.mapInArrow(lean(_digest), "doc_id long, part int, begin long, n_tokens long, ids_crc32 long")
     return rows.join(small(parts), "part").select("doc_id", (F.col("base") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32")

@@ -216,3 +216,34 @@ def test_scores_match_a_plain_convolution(monkeypatch):
         pooled = [np.maximum(np.max(windows[a : a + q.CHUNK], 0) + model.bias, 0) for a in starts]
         z = np.concatenate([np.mean(pooled, 0), np.max(pooled, 0), [1]]) @ model.out
         assert abs(s - 1 / (1 + np.exp(-z))) < 1e-4
+
+
+def test_other_operators_tasks_drop_what_token_workers_remember():
+    import pyarrow as pa
+
+    from pyspark import cloudpickle
+
+    from lodestone.llm import common
+
+    def sent(task):  # as to a worker
+        return cloudpickle.loads(cloudpickle.dumps(task))
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words"])], ["doc_id", "text"])
+    token_files.encoder(vocabulary()).encode(np.frombuffer(b"some words", np.uint8), np.array([0, 10]))
+    assert list(sent(common.lean(lambda batches: batches, keeps="token_files"))([batch])) == [batch]
+    assert token_files._encoders
+    assert list(sent(common.lean(lambda batches: batches))([batch])) == [batch]
+    assert not token_files._encoders and not common._powers
+    token_files.encoder(vocabulary())
+    common._tidied = float("-inf")
+    assert sent(common.lean_groups(lambda rows: rows))(7) == 7
+    assert not token_files._encoders
+
+
+def test_pieces_in_several_batches_give_the_same_ids(monkeypatch):
+    data = np.frombuffer(" ".join(f"piece{chr(97 + i % 26)}x{i} naïve" for i in range(300)).encode(), np.uint8)
+    at = np.array([0, len(data)])
+    plain, _ = token_files.Encoder(vocabulary()).plainly(data, at)
+    monkeypatch.setattr(token_files, "BATCH_PIECES", 7)
+    ids, counts = token_files.Encoder(vocabulary()).encode(data, at)
+    assert ids.tolist() == plain.tolist() and counts.tolist() == [len(plain)]
